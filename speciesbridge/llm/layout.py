@@ -88,7 +88,8 @@ def _hashed(fields: list[Column]) -> Column:
         lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), len(columns)).cast(pa.list_(pa.int64()))
         return pa.StructArray.from_arrays([lists, pa.array(sum(n for _, n in both))], ["k", "n"])
 
-    return hashed(*fields)
+    # else filters on the hash would be pushed below it and the hash made twice
+    return hashed.asNondeterministic()(*fields)
 
 
 def _verified(pairs: list[Column]) -> Column:
