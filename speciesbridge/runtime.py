@@ -54,7 +54,9 @@ def salted_join(rows: DataFrame, reps: DataFrame, keys: list[str], count: str, s
     keys must not be NULL. The broadcast list of hot keys is bounded as HOT_ROWS states; reps of a hot key are
     repeated SALTS times, all others stay single.
     """
-    hot = reps.where(F.col(count) > HOT_ROWS).select(*keys, F.lit(True).alias("_hot"))
+    # the hash holds on to all columns, so that both uses of reps are one plan and its shuffle is done once; should it be
+    # 0, a hot key stays unsalted and meets the repetition with salt 0
+    hot = reps.where((F.col(count) > HOT_ROWS) & (F.xxhash64(*reps.columns) != 0)).select(*keys, F.lit(True).alias("_hot"))
     salted = rows.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
     )
