@@ -223,7 +223,8 @@ def token_counts(col: Column, name: str = "byte_bpe_50k", folder: str = TOKENIZE
         parts = [np.diff(vocabulary(path).encode(piece)[1]) for piece in _slices(C.flat(texts))]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
 
-    return count(col)
+    # else a filter on the count would be pushed below it and the texts encoded twice
+    return count.asNondeterministic()(col)
 
 
 def encode_corpus(df: DataFrame, key: str, text: str, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
