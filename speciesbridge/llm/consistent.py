@@ -254,7 +254,8 @@ def consistent_form(col: Column) -> Column:
     def form(values: pa.Array) -> pa.Array:
         return consistent_array(C.flat(values))
 
-    return form(col)
+    # else a filter on the form would be pushed below it and the form made twice
+    return form.asNondeterministic()(col)
 
 
 #: Printable ASCII, tabs and line ends are consistent as they are; such values need not leave the JVM.
