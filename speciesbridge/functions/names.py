@@ -47,9 +47,8 @@ def trim_blanks(col: Column) -> Column:
 
 
 def standard_case(col: Column) -> Column:
-    """First word capitalised, everything else in lower case; after a leading blank there is no first word."""
-    capital = F.concat(F.upper(F.substring(col, 1, 1)), F.lower(F.substring(col, 2, 1 << 30)))
-    return F.when(col.startswith(" "), F.lower(col)).otherwise(capital)
+    """First letter capital, everything else in lower case; after a leading blank there is no capital."""
+    return F.concat(F.upper(F.substring(col, 1, 1)), F.lower(F.substring(col, 2, 1 << 30)))
 
 
 def normalise(col: Column, rank: str = "species") -> Column:
@@ -67,7 +66,7 @@ def normalise_sql(expr: str, rank: str = "species") -> str:
     expr = f"regexp_replace({expr}, {edge}, '', 'g')"
     for pattern, by in patterns(rank):
         expr = f"regexp_replace({expr}, {quote(pattern)}, {quote(by.replace('$', chr(92)))}, 'g')"
-    return f"regexp_replace(list_transform([{expr}], lambda n: CASE WHEN n LIKE ' %' THEN lower(n) ELSE upper(substring(n, 1, 1)) || lower(substring(n, 2)) END)[1], {edge}, '', 'g')"
+    return f"regexp_replace(list_transform([{expr}], lambda n: upper(substring(n, 1, 1)) || lower(substring(n, 2)))[1], {edge}, '', 'g')"
 
 
 def word(col: Column, n: int) -> Column:

@@ -6,14 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAPPING = T.StructType.fromDDL(
+_TYPES = {"string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "bigint": T.LongType()}
+
+
+def _schema(text: str) -> T.StructType:
+    """A schema from its DDL, without a session, so that workers can import this module."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (x.split() for x in text.split(","))])
+
+
+MAPPING = _schema(
     "name_x string, name_y string, name_resolved string, match_type string, match_score double, match_source string, "
     "in_x boolean, in_y boolean, notes string"
 )
-UNUSED = T.StructType.fromDDL("name_x string, name_y string, reason string")
-OVERRIDES = T.StructType.fromDDL("name_x string, name_y string, action string, user_note string")
-LOOKUP = T.StructType.fromDDL("input string, accepted_name string, status string, taxon_id string, authority string")
-TREE = T.StructType.fromDDL("tree_id string, parent bigint, child bigint, edge_length double, label string, is_tip boolean")
+UNUSED = _schema("name_x string, name_y string, reason string")
+OVERRIDES = _schema("name_x string, name_y string, action string, user_note string")
+LOOKUP = _schema("input string, accepted_name string, status string, taxon_id string, authority string")
+TREE = _schema("tree_id string, parent bigint, child bigint, edge_length double, label string, is_tip boolean")
 
 # The vocabularies.
 MATCH_TYPES = ("exact", "normalized", "synonym", "fuzzy", "manual", "unresolved", "flagged", "augmented", "override_unused")

@@ -95,7 +95,7 @@ def cascade(
     take(cut(mapping_rows(normal, "normalized", 1.0, "normalisation", True, True, F.format_string("'%s' normalised to '%s'", "name_x", "norm"))))
     if authority is not None and lookup is not None:
         first = lambda df: first_rows(df.where("norm <> ''"), ["norm"], ["pos", "name"])
-        fx, fy = first(left_x), first(left_y)
+        fx, fy = cut(first(left_x)), cut(first(left_y))
         pairs = synonym_pairs(fx.select("norm", "pos"), fy.select("norm", "pos"), lookup)
         # of all pairs only those of the first strategy can share a name, a y, and there the earliest x wins
         pairs = first_rows(pairs, ["norm_y"], ["strategy", "pos_x", "norm_x"])

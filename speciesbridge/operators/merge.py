@@ -38,7 +38,7 @@ def merge(
     out = x.join(y, "_key", how)
     if drop_unresolved:
         out = out.where("_key is not null")
-    return out.select(F.col("_key").alias("species_resolved"), *[c for c in out.columns if c != "_key"])
+    return out.select(F.col("_key").alias("species_resolved"), *[F.col(f"`{c}`") for c in out.columns if c != "_key"])
 
 
 def apply_to_data(mapping: DataFrame, data: DataFrame, species: str, drop_unresolved: bool = False) -> DataFrame:

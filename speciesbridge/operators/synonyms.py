@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.relational import first_rows, without
+from ..runtime import cut
 
 
 def resolve_names(inputs: DataFrame, taxa: DataFrame, authority: str) -> DataFrame:
@@ -45,15 +46,18 @@ def synonym_pairs(x: DataFrame, y: DataFrame, lookup: DataFrame) -> DataFrame:
     the n-th x left of a name going with its n-th y left.
     """
     means = lookup.where("accepted_name is not null").select(F.col("input").alias("norm"), F.col("accepted_name").alias("accepted"))
-    mx, my = x.join(means, "norm"), y.join(means, "norm")
+    x, y = cut(x), cut(y)
+    mx, my = cut(x.join(means, "norm")), cut(y.join(means, "norm"))
     one = mx.join(y.select(F.col("norm").alias("accepted"), F.col("pos").alias("pos_y")), "accepted").select(
         F.lit(1).alias("strategy"), F.col("pos").alias("pos_x"), "pos_y", F.col("norm").alias("norm_x"), F.col("accepted").alias("norm_y"), "accepted"
     )
+    one = cut(one)
     left_y = without(my, one, "norm", "norm_y")
     left_x = without(x, one, "norm", "norm_x")
     two = first_rows(
         left_y.join(left_x.select(F.col("norm").alias("accepted"), F.col("pos").alias("pos_x")), "accepted"), ["accepted"], ["pos", "norm"]
     ).select(F.lit(2).alias("strategy"), "pos_x", F.col("pos").alias("pos_y"), F.col("accepted").alias("norm_x"), F.col("norm").alias("norm_y"), "accepted")
+    two = cut(two)
     far_x = without(without(mx, one, "norm", "norm_x"), two, "norm", "norm_x")
     far_y = without(left_y, two, "norm", "norm_y")
     w = Window.partitionBy("accepted").orderBy("pos", "norm")

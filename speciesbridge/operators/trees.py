@@ -244,14 +244,14 @@ def _shared_edges(edges: DataFrame, pairs: DataFrame, paths: DataFrame) -> tuple
     t = tips(edges).where("label is not null").select("tree_id", "label").distinct()
     common = pairs.join(t.withColumnRenamed("tree_id", "tree_a"), "tree_a").join(t.withColumnRenamed("tree_id", "tree_b"), ["tree_b", "label"])
     sets = common.groupBy("tree_a", "tree_b").agg(*_set_key(F.col("label")), F.min("label").alias("ref")).where("n >= 4")
-    sets = sets.select("tree_a", "tree_b", F.col("n").alias("N"), F.col("h1").alias("H1"), F.col("h2").alias("H2"), "ref")
+    sets = sets.select("tree_a", "tree_b", F.col("n").alias("all_n"), F.col("h1").alias("all_1"), F.col("h2").alias("all_2"), "ref")
     common = cut(common.join(sets, ["tree_a", "tree_b"]))
     above = tip_ancestors(edges, paths).where("label is not null").select(F.col("tree_id"), "label", F.col("ancestor").alias("child"))
     sides = []
     for s in "ab":
         mine = common.withColumn("tree_id", F.col(f"tree_{s}")).join(above, ["tree_id", "label"])
         has_ref = F.bool_or(F.col("label") == F.col("ref")).alias("has_ref")
-        sides.append(mine.groupBy("tree_a", "tree_b", "N", "H1", "H2", "tree_id", "child").agg(*_set_key(F.col("label")), has_ref).withColumn("side", F.lit(s)))
+        sides.append(mine.groupBy("tree_a", "tree_b", "all_n", "all_1", "all_2", "tree_id", "child").agg(*_set_key(F.col("label")), has_ref).withColumn("side", F.lit(s)))
     return sets, cut(sides[0].unionByName(sides[1]))
 
 
@@ -264,8 +264,8 @@ def robinson_foulds(edges: DataFrame, pairs: DataFrame, paths: DataFrame | None
     _, below = _shared_edges(edges, pairs, paths)
     flip = lambda own, all_: F.when(F.col("has_ref"), F.col(own).bitwiseXOR(F.col(all_))).otherwise(F.col(own))
     splits = below.select(
-        "tree_a", "tree_b", "side", F.when(F.col("has_ref"), F.col("N") - F.col("n")).otherwise(F.col("n")).alias("n"), "N", flip("h1", "H1").alias("h1"), flip("h2", "H2").alias("h2")
-    ).where("n >= 2 and n <= N - 2").drop("N").distinct()
+        "tree_a", "tree_b", "side", F.when(F.col("has_ref"), F.col("all_n") - F.col("n")).otherwise(F.col("n")).alias("n"), "all_n", flip("h1", "all_1").alias("h1"), flip("h2", "all_2").alias("h2")
+    ).where("n >= 2 and n <= all_n - 2").drop("all_n").distinct()
     single = splits.groupBy("tree_a", "tree_b", "n", "h1", "h2").agg(F.count("*").alias("k"))
     found = single.groupBy("tree_a", "tree_b").agg(F.count_if(F.col("k") == 1).alias("d"))
     enough = below.select("tree_a", "tree_b").distinct()
@@ -283,7 +283,7 @@ def branch_correlation(edges: DataFrame, pairs: DataFrame, paths: DataFrame | No
     sets, below = _shared_edges(edges, pairs, paths)
     key = ["tree_a", "tree_b", "n", "h1", "h2"]
     lengths = edges.select("tree_id", "child", "edge_length")
-    summed = below.where("n < N").join(lengths, ["tree_id", "child"], "left").groupBy(*key, "side").agg(
+    summed = below.where("n < all_n").join(lengths, ["tree_id", "child"], "left").groupBy(*key, "side").agg(
         F.when(F.count_if(F.col("edge_length").isNull()) == 0, F.sum("edge_length")).alias("bl")
     )
     at = lambda s: F.max(F.when(F.col("side") == s, F.col("bl")))
