@@ -72,10 +72,10 @@ def source_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return J.source_coverage(_sources(spark, folder))
 
 
-@REGISTRY.add("species_means", "SELECT species, count(*) AS n_records, round(avg(trait), 6) AS trait, round(avg(mass), 6) AS mass FROM trait_records WHERE species IS NOT NULL GROUP BY species")
+@REGISTRY.add("species_means", "SELECT species, count(*) AS n_records, round(avg(trait), 9) AS trait, round(avg(mass), 9) AS mass FROM trait_records WHERE species IS NOT NULL GROUP BY species")
 def species_means(spark: SparkSession, folder: str) -> DataFrame:
     m = J.species_means(table(spark, folder, "trait_records"), "species", ["trait", "mass"])
-    return m.select("species", "n_records", F.round("trait", 6).alias("trait"), F.round("mass", 6).alias("mass"))
+    return m.select("species", "n_records", F.round("trait", 9).alias("trait"), F.round("mass", 9).alias("mass"))
 
 
 @REGISTRY.add("frozen_lookup", f"""WITH m AS (SELECT name_x, coalesce(name_resolved, name_y) AS r, {NORM('name_x')} AS norm FROM mapping WHERE in_x AND in_y AND name_x IS NOT NULL),
