@@ -19,12 +19,14 @@ from . import codepoints as C
 
 # Letters of other scripts with the Latin letters that they look like.
 CYRILLIC = dict(zip("аеорсухіѕјһԁԛԝѵӏАВЕКМНОРСТУХІЅЈԚԜҮүһ", "aeopcyxisjhdqwvlABEKMHOPCTYXISJQWYyh"))
-GREEK = dict(zip("ονυιαρκτχςΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳ", "ovuiapktxcABEZHIKMNOPTYXcj"))
+GREEK = dict(zip("ονυιαρΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳ", "ovuiapABEZHIKMNOPTYXcj"))
 # Latin letters that only stand in for others.
 LATIN = dict(zip("ɑɡıȷⅼ", "agijl"))
 # Letters in which a Latin letter is read when it stands in a word of the other script.
-TO_CYRILLIC = dict(zip("aeopcyxisjkmtbhABEKMHOPCTYXISJ", "аеорсухіѕјкмтьһАВЕКМНОРСТУХІЅЈ"))
-TO_GREEK = dict(zip("ovuiapktxABEZHIKMNOPTYX", "ονυιαρκτχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"))
+TO_CYRILLIC = dict(zip("aeopcyxisjABEKMHOPCTYXISJ", "аеорсухіѕјАВЕКМНОРСТУХІЅЈ"))
+TO_GREEK = dict(zip("ovuiapABEZHIKMNOPTYX", "ονυιαρΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"))
+# Greek letters that, alone, are symbols rather than stand-ins.
+SYMBOLS = "ανιρυ"
 # Invisible code points that are not of category Cf, and the visible ones that are.
 INVISIBLE = [0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, 0x180F]
 INVISIBLE += [*range(0x180B, 0x180E), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]
@@ -149,17 +151,28 @@ def _words(cps: np.ndarray, row: np.ndarray) -> np.ndarray:
         return np.bincount(word[mask & inside], minlength=n)
 
     latin, cyrillic, greek = (count(script == s) for s in (LATIN_SCRIPT, CYRILLIC_SCRIPT, GREEK_SCRIPT))
+    to_latin, to_cyrillic, to_greek = t["to_latin"][cps], t["to_cyrillic"][cps], t["to_greek"][cps]
+    only_other = count(other & (to_latin == cps))  # letters of other scripts without a Latin double
+    is_latin = script == LATIN_SCRIPT
+    not_cyrillic, not_greek = count(is_latin & (to_cyrillic == cps)), count(is_latin & (to_greek == cps))
     mixed = (latin > 0).astype(int) + (cyrillic > 0) + (greek > 0) > 1
-    if not mixed.any():
-        return cps
-    to_latin = t["to_latin"][cps]
-    strange = count(other & (to_latin == cps))
     goal = np.where(cyrillic > latin + greek, CYRILLIC_SCRIPT, np.where(greek > latin + cyrillic, GREEK_SCRIPT, 0))
-    goal = np.where((strange == 0) | (latin > cyrillic + greek), LATIN_SCRIPT, goal)  # without majority it stays
-    goal = np.where(mixed, goal, 0)[word] * inside
+    goal = np.where(latin > cyrillic + greek, LATIN_SCRIPT, goal)  # without a majority nothing is changed
+    goal = np.where((greek > 0) & (cyrillic == 0) & (not_greek == 0), GREEK_SCRIPT, goal)
+    goal = np.where((cyrillic > 0) & (greek == 0) & (not_cyrillic == 0), CYRILLIC_SCRIPT, goal)
+    goal = np.where((only_other == 0) & (latin + cyrillic + greek > 0), LATIN_SCRIPT, goal)
+    # a word all of doubles stands for a Latin one where the rest of the row is Latin
+    rows = int(row[-1]) + 1
+    row_latin, row_other = np.bincount(row[is_latin], minlength=rows), np.bincount(row[other & (to_latin == cps)], minlength=rows)
+    word_row = np.zeros(n, np.int64)
+    word_row[word[begins]] = row[begins]
+    symbol = count(np.isin(cps, [ord(c) for c in SYMBOLS]))
+    letters = latin + cyrillic + greek
+    alone = (latin == 0) & (letters > 0) & (only_other == 0) & (row_latin[word_row] > 0) & (row_other[word_row] == 0) & ~((letters == 1) & (symbol == 1))
+    goal = np.where(mixed | alone, goal, 0)[word] * inside
     out = np.where(goal == LATIN_SCRIPT, to_latin, cps)
-    out = np.where((goal == CYRILLIC_SCRIPT) & (script == LATIN_SCRIPT), t["to_cyrillic"][cps], out)
-    return np.where((goal == GREEK_SCRIPT) & (script == LATIN_SCRIPT), t["to_greek"][cps], out)
+    out = np.where((goal == CYRILLIC_SCRIPT) & is_latin, to_cyrillic, out)
+    return np.where((goal == GREEK_SCRIPT) & is_latin, to_greek, out)
 
 
 def _compose(cps: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,7 +260,9 @@ def consistent_form(col: Column) -> Column:
 
     Accented letters are composed; invisible characters are dropped; blanks become U+0020 (tabs and line ends stay);
     width, style and ligature variants of letters, digits and punctuation become the plain ones; in a word of mixed
-    scripts, letters that only look like those of the word's script become them. Words wholly in one script stay.
+    scripts, letters that only look like those of the word's script become them: of Latin if all others have a Latin
+    double, else of the other script if all Latin letters have a double there, else of the majority. Words wholly in
+    another script stay, unless all their letters have Latin doubles and everything else in the value is Latin.
     """
 
     @F.arrow_udf("string")
