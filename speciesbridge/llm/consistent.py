@@ -119,6 +119,7 @@ def tables() -> dict[str, np.ndarray]:
     for a, b in LATIN.items():
         fixed[ord(a)] = ord(b)
     plain = (lengths == 1) & (starts == np.arange(TOP)) & (ccc == 0) & (fixed == same)
+    plain[keys & 0x1FFFFF] = False  # what composes with something before it
     return {
         "len": lengths, "start": starts, "data": np.concatenate(data), "ccc": ccc, "script": script, "fixed": fixed,
         "keys": keys, "made": np.array([pairs[k] for k in keys.tolist()], np.uint32), "quiet": plain & (script < CYRILLIC_SCRIPT),
