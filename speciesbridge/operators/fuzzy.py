@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import GENUS_EDITS, WORD_WEIGHTS, name_similarity, normalise, part_similarity, word
+from ..functions.names import GENUS_EDITS, WORD_WEIGHTS, normalise, part_similarity, word
 from ..functions.relational import first_rows
 
 
@@ -40,11 +40,57 @@ def genus_pairs(gx: DataFrame, gy: DataFrame) -> DataFrame:
     return a.join(b, "v").where((near >= 0) & (near <= GENUS_EDITS)).select("genus_x", "genus_y").distinct()
 
 
+#: Genera with more names than this in y are blocked by parts of the second words, where the threshold allows it.
+HOT_GENUS = 5_000
+#: Share of a second word that must be right for that; below it, parts are too short to tell words apart.
+LEAST_RIGHT = 0.5
+
+
+def _parts(word_: str, right: float) -> str:
+    """SQL: of a word of y, for each number k of edits that may occur, its k + 1 parts as structs (m, k, i, part).
+
+    Whatever k edits do to a word, one of its k + 1 parts stays as it is and moves by at most k letters.
+    """
+    m = f"length({word_})"
+    k0, k1 = (f"cast(floor({1 - right} * {m} / {d} + 1e-6) as int)" for d in ("1", right))
+    base, long_from = f"cast({m} div (k + 1) as int)", f"(k + 1 - {m} % (k + 1))"
+    part = f"substring({word_}, cast(i * {base} + greatest(0, i - {long_from}) + 1 as int), cast({base} + if(i >= {long_from}, 1, 0) as int))"
+    return f"flatten(transform(sequence({k0}, {k1}), k -> transform(sequence(0, k), i -> struct({m} as m, k as k, i as i, {part} as part))))"
+
+
+def _probes(word_: str, right: float) -> str:
+    """SQL: of a word of x, the structs of all parts that words of y it may be an edited form of could have."""
+    n = f"length({word_})"
+    far = f"cast(floor({1 - right} * {n} / {right} + 1e-6) as int)"
+    k = f"cast(floor({1 - right} * greatest({n}, m) + 1e-6) as int)"
+    base, long_from = "cast(m div (k + 1) as int)", "(k + 1 - m % (k + 1))"
+    start, size = f"cast(i * {base} + greatest(0, i - {long_from}) as int)", f"cast({base} + if(i >= {long_from}, 1, 0) as int)"
+    lo, hi = f"greatest(0, {start} - k)", f"least({n} - {size}, {start} + k)"
+    at = f"if({lo} <= {hi}, transform(sequence({lo}, greatest({lo}, {hi})), p -> struct(m as m, k as k, i as i, substring({word_}, p + 1, {size}) as part)), array())"
+    per_k = f"flatten(transform(sequence(0, k), i -> {at}))"
+    lengths = f"transform(sequence(greatest(0, {n} - {far}), {n} + {far}), m -> if(abs({n} - m) <= {k}, flatten(transform(array({k}), k -> {per_k})), array()))"
+    return f"array_distinct(flatten({lengths}))"
+
+
+def _pairs(left: DataFrame, near: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Names of near genera side by side; in large genera only those whose second words share a part where they may."""
+    must = (threshold - WORD_WEIGHTS[0]) / WORD_WEIGHTS[1]
+    if must <= LEAST_RIGHT:
+        return left.join(near, "genus_x").join(right, "genus_y")
+    large = right.groupBy("genus_y").agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_GENUS).select("genus_y")
+    small = left.join(near.join(large, "genus_y", "left_anti"), "genus_x").join(right, "genus_y")
+    parts = right.join(large, "genus_y", "left_semi").select("*", F.expr(f"inline({_parts('ey', must)})"))
+    probes = left.join(near.join(large, "genus_y", "left_semi"), "genus_x").select("*", F.expr(f"inline({_probes('ex', must)})"))
+    met = probes.join(parts, ["genus_y", "m", "k", "i", "part"]).dropDuplicates(["name_x", "name_y"])
+    return small.unionByName(met.select(*small.columns))
+
+
 def similar_names(x: DataFrame, y: DataFrame, threshold: float, rank: str) -> DataFrame:
     """(name_x, pos_x, norm_x, name_y, pos_y, norm_y, genus_y, score): pairs with a similarity of threshold or more.
 
     x, y: (name, pos[, norm]), names distinct. What no epithet could lift to the threshold is dropped before epithets
-    are compared, by the first words' similarity and then by the lengths of the second ones; both bounds lose nothing.
+    are compared, by the first words' similarity and then by the lengths of the second ones; edit distances are given up
+    beyond what the threshold allows. These bounds lose nothing.
     """
     bx, by = binomials(x, rank), binomials(y, rank)
     near = genus_pairs(bx.select("genus").distinct(), by.select("genus").distinct()).withColumn(
@@ -53,12 +99,14 @@ def similar_names(x: DataFrame, y: DataFrame, threshold: float, rank: str) -> Da
     left = bx.select(F.col("name").alias("name_x"), F.col("pos").alias("pos_x"), F.col("norm").alias("norm_x"), F.col("genus").alias("genus_x"), F.col("epithet").alias("ex"))
     right = by.select(F.col("name").alias("name_y"), F.col("pos").alias("pos_y"), F.col("norm").alias("norm_y"), F.col("genus").alias("genus_y"), F.col("epithet").alias("ey"))
     longest = F.greatest(F.length("ex"), F.length("ey"))
-    bound = 1 - F.abs(F.length("ex") - F.length("ey")) / F.greatest(longest, F.lit(1))
+    # edits that an epithet may have and still reach the threshold, rounded so that none is lost
+    spare = F.floor((1 - (threshold - WORD_WEIGHTS[0] * F.col("g_sim")) / WORD_WEIGHTS[1]) * longest + 1e-6).cast("int")
+    paired = _pairs(left, near, right, threshold).withColumn("spare", spare).withColumn("longest", longest)
+    edits = paired.where(F.abs(F.length("ex") - F.length("ey")) <= F.col("spare")).withColumn("d", F.expr("levenshtein(ex, ey, spare)"))
+    e_sim = F.when(F.col("longest") == 0, F.lit(1.0)).otherwise(1 - F.col("d") / F.nullif(F.col("longest"), F.lit(0)))
     return (
-        left.join(near, "genus_x")
-        .join(right, "genus_y")
-        .where(WORD_WEIGHTS[0] * F.col("g_sim") + WORD_WEIGHTS[1] * bound >= threshold - 1e-9)
-        .withColumn("score", name_similarity(F.col("genus_x"), F.col("ex"), F.col("genus_y"), F.col("ey")))
+        edits.where("d >= 0")
+        .withColumn("score", WORD_WEIGHTS[0] * F.col("g_sim") + WORD_WEIGHTS[1] * e_sim)
         .where(F.col("score") >= threshold)
         .select("name_x", "pos_x", "norm_x", "name_y", "pos_y", "norm_y", "genus_y", "score")
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+import math
 import os
 from hashlib import sha1
 
@@ -74,17 +75,26 @@ def html_report(rec: Reconciliation, title: str = "Reconciliation report") -> st
 
 
 def plot_svg(mapping: DataFrame, kind: str = "bar") -> str:
-    """The composition of the mapping as a bar; classes that don't occur have no part in it."""
-    if kind != "bar":
-        raise ValueError("kind must be bar")
+    """The composition of the mapping as a bar or a pie; classes that don't occur have no part in it."""
+    if kind not in ("bar", "pie"):
+        raise ValueError("kind must be bar or pie")
     counts = {r["match_type"]: r["n"] for r in composition(mapping).collect()}
-    total, x, parts = sum(counts.values()) or 1, 0.0, []
+    total, at, parts = sum(counts.values()) or 1, 0.0, []
     for name, colour in COLOURS.items():
-        if counts.get(name):
-            w = 600 * counts[name] / total
-            parts.append(f"<rect x='{x:.2f}' y='0' width='{w:.2f}' height='40' fill='{colour}'><title>{name}: {counts[name]}</title></rect>")
-            x += w
-    return f"<svg xmlns='http://www.w3.org/2000/svg' width='600' height='40'>{''.join(parts)}</svg>"
+        share = counts.get(name, 0) / total
+        if not share:
+            continue
+        title = f"<title>{name}: {counts[name]}</title>"
+        if kind == "bar":
+            parts.append(f"<rect x='{600 * at:.2f}' y='0' width='{600 * share:.2f}' height='40' fill='{colour}'>{title}</rect>")
+        elif share == 1:
+            parts.append(f"<circle cx='100' cy='100' r='100' fill='{colour}'>{title}</circle>")
+        else:
+            (x0, y0), (x1, y1) = ((100 + 100 * math.sin(2 * math.pi * f), 100 - 100 * math.cos(2 * math.pi * f)) for f in (at, at + share))
+            parts.append(f"<path d='M100,100 L{x0:.2f},{y0:.2f} A100,100 0 {int(share > 0.5)} 1 {x1:.2f},{y1:.2f} Z' fill='{colour}'>{title}</path>")
+        at += share
+    size = "width='600' height='40'" if kind == "bar" else "width='200' height='200'"
+    return f"<svg xmlns='http://www.w3.org/2000/svg' {size}>{''.join(parts)}</svg>"
 
 
 class TreeCache:

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from speciesbridge.functions.schema import MAPPING
+from speciesbridge.operators import fuzzy
 from speciesbridge.operators.cascade import cascade, unused_counts
 from speciesbridge.operators.fuzzy import genus_pairs, suggestions
 from speciesbridge.operators.greedy import greedy_matching
@@ -123,6 +124,24 @@ def test_genus_pairs_by_brute_force(spark, rows):
     assert rows(genus_pairs(df, df)) == sorted(((a, b) for a in words for b in words if distance(a, b) <= 2), key=repr)
 
 
+@pytest.mark.parametrize("threshold", [0.84, 0.9, 0.95])
+def test_large_genera_lose_no_pair(spark, rows, monkeypatch, threshold):
+    rng = random.Random(11)
+    stems = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 14))) for _ in range(40)]
+
+    def edited(w):
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randrange(len(w) + 1)
+            w = w[:i] + rng.choice(["", "x", "a"]) + w[i + rng.randint(0, 1) :]
+        return w or "a"
+
+    side = lambda: named(spark, *sorted({f"{rng.choice(['Parus', 'Parsus', 'Falco'])} {edited(rng.choice(stems))}" for _ in range(150)}))
+    x, y = side(), side()
+    plain = rows(fuzzy.similar_names(x, y, threshold, "subspecies"), "name_x", "name_y", "score")
+    monkeypatch.setattr(fuzzy, "HOT_GENUS", 0)
+    assert plain and rows(fuzzy.similar_names(x, y, threshold, "subspecies"), "name_x", "name_y", "score") == plain
+
+
 def test_suggestions_are_ordered_and_limited(spark):
     got = suggestions(named(spark, "Parus majro", "Single", None), named(spark, "Parus major", "Parus majros", "Parus x", "Parus majro"), 2, 0.7).collect()
     assert [(r["suggestion"], r["score"]) for r in sorted(got, key=lambda r: -r["score"])] == [("Parus majro", 1.0), ("Parus majros", 0.9333)]
