@@ -119,9 +119,11 @@ def tables() -> dict[str, np.ndarray]:
     for a, b in LATIN.items():
         fixed[ord(a)] = ord(b)
     plain = (lengths == 1) & (starts == np.arange(TOP)) & (ccc == 0) & (fixed == same)
-    plain[keys & 0x1FFFFF] = False  # what composes with something before it
+    second = np.zeros(TOP, bool)
+    second[keys & 0x1FFFFF] = True  # what composes with something before it
+    plain &= ~second
     return {
-        "len": lengths, "start": starts, "data": np.concatenate(data), "ccc": ccc, "script": script, "fixed": fixed,
+        "len": lengths, "start": starts, "data": np.concatenate(data), "ccc": ccc, "script": script, "fixed": fixed, "second": second,
         "keys": keys, "made": np.array([pairs[k] for k in keys.tolist()], np.uint32), "quiet": plain & (script < CYRILLIC_SCRIPT),
         "to_latin": looks(CYRILLIC | GREEK), "to_cyrillic": looks(TO_CYRILLIC), "to_greek": looks(TO_GREEK),
     }
@@ -177,7 +179,21 @@ def _words(cps: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def _compose(cps: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Canonical order of the marks, then composition; the rows stay apart."""
+    """Composition of the rows that have something to compose; the others stay."""
+    t = tables()
+    has = np.zeros(int(row[-1]) + 1, bool)
+    has[row[t["second"][cps] | (t["ccc"][cps] > 0)]] = True
+    mine = np.flatnonzero(has[row])
+    if not len(mine):
+        return cps, row
+    made, left = _composed(cps[mine], row[mine])
+    cps, keep = cps.copy(), np.ones(len(cps), bool)
+    cps[mine], keep[mine] = made, left
+    return cps[keep], row[keep]
+
+
+def _composed(cps: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Canonical order of the marks, then composition; the rows stay apart. (code points, which of them stay)."""
     t = tables()
     ccc = t["ccc"][cps].astype(np.int64)
     apart = np.concatenate([[True], row[1:] != row[:-1]])
@@ -208,7 +224,7 @@ def _compose(cps: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cps[left] = c
         left = np.flatnonzero(keep)
         c, k, r = cps[left], ccc[left], row[left]
-        both = np.flatnonzero((k[1:] == 0) & (k[:-1] == 0) & (r[1:] == r[:-1])) if len(left) > 1 else np.zeros(0, int)
+        both = np.flatnonzero(t["second"][c[1:]] & (k[1:] == 0) & (k[:-1] == 0) & (r[1:] == r[:-1])) if len(left) > 1 else np.zeros(0, int)
         if len(both):
             made = _pair(c[both], c[both + 1])
             both, made = both[made > 0], made[made > 0]
@@ -217,7 +233,7 @@ def _compose(cps: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 cps[left[both[first]]] = made[first]
                 keep[left[both[first] + 1]] = False
                 changed = True
-    return cps[keep], row[keep]
+    return cps, keep
 
 
 def consistent(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
