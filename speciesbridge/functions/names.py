@@ -19,12 +19,8 @@ CLEANING = [
     (r"^(\S+\s+\S+)\s+\p{Lu}[\p{L}.]+\.?\s*$", r"$1"),
     (r"\s*\([^()]*\)\s*$", ""),
     (r"\s*×\s*", " x "),
-    (r"^x\s+", "x "),
-    (r"\s+x\s+", " x "),
-    (r"\bsubsp\.?\s+", "subsp. "),
     (r"\bssp\.?\s+", "subsp. "),
-    (r"\bvar\.?\s+", "var. "),
-    (r"\bf\.?\s+", "f. "),
+    (r"\b(subsp|var|f)\.?\s+", "$1. "),
 ]
 INFRASPECIFIC = [
     (r"^(\S+\s+\S+)\s+(?:subsp|ssp|var|f)\.?\s+.*$", r"$1"),
@@ -55,7 +51,7 @@ def normalise(col: Column, rank: str = "species") -> Column:
     """The name without author, identifier and, for rank species, infraspecific parts, in standard case."""
     col = trim_blanks(col)
     for pattern, by in patterns(rank):
-        col = F.regexp_replace(col, pattern, by)
+        col = F.translate(col, "_", " ") if pattern == "_" else F.regexp_replace(col, pattern, by)
     return trim_blanks(standard_case(col))
 
 

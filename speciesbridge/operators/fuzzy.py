@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import GENUS_EDITS, WORD_WEIGHTS, normalise, part_similarity, word
 from ..functions.relational import first_rows
+from ..runtime import cut
 
 
 def binomials(df: DataFrame, rank: str) -> DataFrame:
@@ -40,6 +41,8 @@ def genus_pairs(gx: DataFrame, gy: DataFrame) -> DataFrame:
     return a.join(b, "v").where((near >= 0) & (near <= GENUS_EDITS)).select("genus_x", "genus_y").distinct()
 
 
+#: So many rows of some 150 bytes may be broadcast, 30 MB in all.
+MOST_SENT = 200_000
 #: Genera with more names than this in y are blocked by parts of the second words, where the threshold allows it.
 HOT_GENUS = 5_000
 #: Share of a second word that must be right for that; below it, parts are too short to tell words apart.
@@ -92,11 +95,18 @@ def similar_names(x: DataFrame, y: DataFrame, threshold: float, rank: str) -> Da
     are compared, by the first words' similarity and then by the lengths of the second ones; edit distances are given up
     beyond what the threshold allows. These bounds lose nothing.
     """
-    bx, by = binomials(x, rank), binomials(y, rank)
+    # normal forms are dear and read three times below; each name of x becomes many pairs, so that even names that would
+    # fit one task are spread over as many as shuffles have
+    n = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bx, by = cut(binomials(x, rank).repartition(n, "name")), cut(binomials(y, rank))
     near = genus_pairs(bx.select("genus").distinct(), by.select("genus").distinct()).withColumn(
         "g_sim", part_similarity(F.col("genus_x"), F.col("genus_y"))
     ).where(WORD_WEIGHTS[0] * F.col("g_sim") + WORD_WEIGHTS[1] >= threshold - 1e-9)
     left = bx.select(F.col("name").alias("name_x"), F.col("pos").alias("pos_x"), F.col("norm").alias("norm_x"), F.col("genus").alias("genus_x"), F.col("epithet").alias("ex"))
+    # names of y, and pairs of genera, are sent to the names of x if they are counted to be few; else all sides are shuffled
+    near = cut(near)
+    few = by.count() <= MOST_SENT and near.count() <= MOST_SENT
+    near, by = (F.broadcast(near), F.broadcast(by)) if few else (near, by)
     right = by.select(F.col("name").alias("name_y"), F.col("pos").alias("pos_y"), F.col("norm").alias("norm_y"), F.col("genus").alias("genus_y"), F.col("epithet").alias("ey"))
     longest = F.greatest(F.length("ex"), F.length("ey"))
     # edits that an epithet may have and still reach the threshold, rounded so that none is lost
