@@ -14,6 +14,8 @@ PACKAGE = Path(__file__).resolve().parent
 #: A key with more rows than this is spread over SALTS tasks. The list of such keys has at most rows / HOT_ROWS
 #: entries of some 24 bytes, that is, about a millionth of the data it was counted on.
 HOT_ROWS = 200_000
+#: Estimates of so many bytes and more say nothing.
+SANE_SIZE = 1 << 60
 SALTS = 64
 
 _shipped: set[str] = set()
@@ -41,7 +43,14 @@ def cut(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         own = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    # A checkpoint keeps the size that was estimated for its plan. Over rounds of joins that is a product of products with
+    # thousands of digits, and the planner drowns in it; beyond any real size it is forgotten.
+    plan = done._jdf.queryExecution()
+    if plan.optimizedPlan().stats().sizeInBytes() < SANE_SIZE:
+        return done
+    session = df.sparkSession
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(plan.toRdd(), done._jdf.schema(), False), session)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
