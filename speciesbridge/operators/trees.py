@@ -229,20 +229,41 @@ def consecutive_pairs(edges: DataFrame) -> DataFrame:
     return ids.select("tree_a", F.lead("tree_a").over(Window.orderBy("tree_a")).alias("tree_b")).where("tree_b is not null")
 
 
-def compare_tips(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(tree_a, tree_b, n_shared, n_only_a, n_only_b, jaccard) of pairs of trees (tree_a, tree_b)."""
+def all_pairs(edges: DataFrame) -> DataFrame:
+    """(tree_a, tree_b): every tree with every other, once, the smaller id first."""
+    ids = edges.select(F.col("tree_id").alias("tree_a")).distinct()
+    # a product, as large as the result is meant to be; one side is spread, for the ids of all trees are few bytes
+    spread = ids.repartition(edges.sparkSession.sparkContext.defaultParallelism, "tree_a")
+    return spread.join(ids.withColumnRenamed("tree_a", "tree_b"), F.col("tree_a") < F.col("tree_b"))
+
+
+def _common_tips(edges: DataFrame, pairs: DataFrame | None) -> DataFrame:
+    """(tree_a, tree_b, label) of labels that both trees of a pair have.
+
+    Over all pairs trees meet by label, so that pairs without a common tip cost nothing; given pairs look up their labels.
+    """
     t = tips(edges).where("label is not null").select("tree_id", "label").distinct()
-    in_a = pairs.join(t.withColumnRenamed("tree_id", "tree_a"), "tree_a").select("tree_a", "tree_b", "label", F.lit(1).alias("a"), F.lit(0).alias("b"))
-    in_b = pairs.join(t.withColumnRenamed("tree_id", "tree_b"), "tree_b").select("tree_a", "tree_b", "label", F.lit(0).alias("a"), F.lit(1).alias("b"))
-    both = in_a.unionByName(in_b).groupBy("tree_a", "tree_b", "label").agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    n = both.groupBy("tree_a", "tree_b").agg(F.count_if(F.expr("a + b = 2")).alias("n_shared"), F.count_if(F.expr("b = 0")).alias("n_only_a"), F.count_if(F.expr("a = 0")).alias("n_only_b"))
-    return n.withColumn("jaccard", F.col("n_shared") / F.greatest(F.lit(1), F.col("n_shared") + F.col("n_only_a") + F.col("n_only_b")))
+    a, b = t.withColumnRenamed("tree_id", "tree_a"), t.withColumnRenamed("tree_id", "tree_b")
+    if pairs is None:
+        return a.join(b, "label").where("tree_a < tree_b").select("tree_a", "tree_b", "label")
+    return pairs.join(a, "tree_a").join(b, ["tree_b", "label"]).select("tree_a", "tree_b", "label")
 
 
-def _shared_edges(edges: DataFrame, pairs: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+def compare_tips(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(tree_a, tree_b, n_shared, n_only_a, n_only_b, jaccard) of pairs of trees (tree_a, tree_b); without pairs, of all."""
+    n = tips(edges).where("label is not null").groupBy("tree_id").agg(F.count_distinct("label").alias("n"))
+    shared = _common_tips(edges, pairs).groupBy("tree_a", "tree_b").agg(F.count("*").alias("n_shared"))
+    out = (all_pairs(edges) if pairs is None else pairs).join(shared, ["tree_a", "tree_b"], "left")
+    for s in "ab":
+        out = out.join(n.select(F.col("tree_id").alias(f"tree_{s}"), F.col("n").alias(f"n_{s}")), f"tree_{s}", "left")
+    count = lambda c: F.coalesce(c, F.lit(0))
+    out = out.select("tree_a", "tree_b", count("n_shared").alias("n_shared"), (count("n_a") - count("n_shared")).alias("n_only_a"), (count("n_b") - count("n_shared")).alias("n_only_b"))
+    return out.withColumn("jaccard", F.col("n_shared") / F.greatest(F.lit(1), F.col("n_shared") + F.col("n_only_a") + F.col("n_only_b")))
+
+
+def _shared_edges(edges: DataFrame, pairs: DataFrame | None, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(common tips of each pair; edges of each side of a pair, above the common tips, with the set below)."""
-    t = tips(edges).where("label is not null").select("tree_id", "label").distinct()
-    common = pairs.join(t.withColumnRenamed("tree_id", "tree_a"), "tree_a").join(t.withColumnRenamed("tree_id", "tree_b"), ["tree_b", "label"])
+    common = _common_tips(edges, pairs)
     sets = common.groupBy("tree_a", "tree_b").agg(*_set_key(F.col("label")), F.min("label").alias("ref")).where("n >= 4")
     sets = sets.select("tree_a", "tree_b", F.col("n").alias("all_n"), F.col("h1").alias("all_1"), F.col("h2").alias("all_2"), "ref")
     common = cut(common.join(sets, ["tree_a", "tree_b"]))
@@ -255,10 +276,11 @@ def _shared_edges(edges: DataFrame, pairs: DataFrame, paths: DataFrame) -> tuple
     return sets, cut(sides[0].unionByName(sides[1]))
 
 
-def robinson_foulds(edges: DataFrame, pairs: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+def robinson_foulds(edges: DataFrame, pairs: DataFrame | None = None, paths: DataFrame | None = None) -> DataFrame:
     """(tree_a, tree_b, rf): unrooted symmetric difference on the subtrees of common tips, NULL below four of them.
 
     A split is the side without a reference tip, as a 128-bit key; splits that set off less than two tips don't count.
+    Without pairs, of all pairs of trees.
     """
     paths = closure(edges) if paths is None else paths
     _, below = _shared_edges(edges, pairs, paths)
@@ -270,14 +292,15 @@ def robinson_foulds(edges: DataFrame, pairs: DataFrame, paths: DataFrame | None
     found = single.groupBy("tree_a", "tree_b").agg(F.count_if(F.col("k") == 1).alias("d"))
     enough = below.select("tree_a", "tree_b").distinct()
     rf = enough.join(found, ["tree_a", "tree_b"], "left").select("tree_a", "tree_b", F.coalesce("d", F.lit(0)).cast("double").alias("rf"))
-    return pairs.join(rf, ["tree_a", "tree_b"], "left")
+    return (all_pairs(edges) if pairs is None else pairs).join(rf, ["tree_a", "tree_b"], "left")
 
 
-def branch_correlation(edges: DataFrame, pairs: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+def branch_correlation(edges: DataFrame, pairs: DataFrame | None = None, paths: DataFrame | None = None) -> DataFrame:
     """(tree_a, tree_b, n_edges, branch_cor): Pearson correlation of the lengths of edges over the same common tips.
 
     Both trees are first taken down to their common tips: of nodes over the same tips the edges add up. NULL below four
-    common tips, below two shared edges, where a length is missing or where lengths don't vary.
+    common tips, below two shared edges, where a length is missing or where lengths don't vary. Without pairs, of all
+    pairs of trees.
     """
     paths = cut(closure(edges)) if paths is None else paths
     sets, below = _shared_edges(edges, pairs, paths)
@@ -293,7 +316,7 @@ def branch_correlation(edges: DataFrame, pairs: DataFrame, paths: DataFrame | No
         F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb"),
     )
     good = (F.col("n_edges") >= 2) & (F.col("gaps") == 0) & (F.col("sa") > 0) & (F.col("sb") > 0)
-    return pairs.join(cor.select("tree_a", "tree_b", "n_edges", F.when(good, F.col("r")).alias("branch_cor")), ["tree_a", "tree_b"], "left")
+    return (all_pairs(edges) if pairs is None else pairs).join(cor.select("tree_a", "tree_b", "n_edges", F.when(good, F.col("r")).alias("branch_cor")), ["tree_a", "tree_b"], "left")
 
 
 def unique_tips(edges: DataFrame) -> DataFrame:

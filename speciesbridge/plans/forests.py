@@ -109,6 +109,13 @@ v AS (SELECT tree_a, tree_b, own, max(bl) FILTER (tree_id = tree_a) AS a, max(bl
 r AS (SELECT tree_a, tree_b, count(*) AS n_edges, CASE WHEN count(*) >= 2 AND count(a) = count(*) AND count(b) = count(*) AND stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END AS branch_cor FROM v GROUP BY 1, 2)
 SELECT p.tree_a, p.tree_b, n_edges, round(branch_cor, 6) AS branch_cor FROM pairs p LEFT JOIN r ON r.tree_a = p.tree_a AND r.tree_b = p.tree_b""",
      lambda s, f: T.branch_correlation(_edges(s, f), T.consecutive_pairs(_edges(s, f))).withColumn("branch_cor", F.round("branch_cor", 6)))
+# every tree against every other, as in the reference's matrices; the SQL is that of the consecutive pairs over other pairs
+EVERY = "pairs AS (SELECT a.tree_id AS tree_a, b.tree_id AS tree_b FROM (SELECT DISTINCT tree_id FROM tree_edges) a JOIN (SELECT DISTINCT tree_id FROM tree_edges) b ON a.tree_id < b.tree_id)"
+for _name, _run in (
+    ("tree_jaccard", lambda s, f: T.compare_tips(_edges(s, f))), ("tree_rf", lambda s, f: T.robinson_foulds(_edges(s, f))),
+    ("tree_branch_cor", lambda s, f: T.branch_correlation(_edges(s, f)).withColumn("branch_cor", F.round("branch_cor", 6))),
+):
+    _add(f"{_name}_all", REGISTRY.sql[_name].replace(PAIRS, EVERY), _run)
 _add("tree_unique_tips", f"WITH {LABELS} SELECT min(tree_id) AS tree_id, label FROM lab GROUP BY label HAVING count(*) = 1", lambda s, f: T.unique_tips(_edges(s, f)))
 _add("tree_shared_tips", f"WITH {LABELS} SELECT label FROM lab GROUP BY label HAVING count(*) = (SELECT count(DISTINCT tree_id) FROM tree_edges)", lambda s, f: T.shared_tips(_edges(s, f)))
 _add("tip_consistency", f"WITH {LABELS} SELECT tree_id, count(*) AS n_tips, (SELECT count(DISTINCT label) FROM lab) - count(*) AS n_missing FROM lab GROUP BY 1", lambda s, f: T.tip_set_gaps(_edges(s, f)))

@@ -226,3 +226,15 @@ def test_retrieval(spark, rows):
     assert T.ultrametric(graf.edges).first()["is_ultrametric"] is True
     with pytest.raises(ValueError):
         R.get_tree(names, R.TableProvider("table", tree), n_tree=0)
+
+
+def test_comparison_without_pairs_is_of_all(forest, spark):
+    lists, df = forest
+    pairs = set(itertools.combinations(["t0", "t1", "t2", "t3"], 2))
+    given = spark.createDataFrame(sorted(pairs), "tree_a string, tree_b string")
+    for compare in (T.compare_tips, T.robinson_foulds, T.branch_correlation):
+        every = {(r["tree_a"], r["tree_b"]): tuple(r) for r in compare(df).collect()}
+        assert set(every) == pairs
+        assert every == {(r["tree_a"], r["tree_b"]): tuple(r) for r in compare(df, given).collect()}
+    jac = {(r["tree_a"], r["tree_b"]): (r["n_shared"], r["n_only_a"], r["n_only_b"]) for r in T.compare_tips(df).collect()}
+    assert jac["t0", "t2"] == (0, 9, 7) and jac["t1", "t3"] == (2, 10, 0)
