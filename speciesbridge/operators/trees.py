@@ -7,6 +7,7 @@ trees is processed at once; no operator walks a tree node by node except graftin
 from __future__ import annotations
 
 import statistics
+from bisect import bisect_left, insort
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,8 @@ from ..runtime import cut, ship
 EDGE = TREE.fieldNames()
 #: The depths of an ultrametric tree's tips may differ by so much of the greatest.
 ULTRAMETRIC_TOLERANCE = 1e-6
+#: The names of a genus are spread over so many tasks where they meet all trees with that genus.
+SPREAD = 16
 
 
 def tips(edges: DataFrame) -> DataFrame:
@@ -339,6 +342,32 @@ def tip_set_gaps(edges: DataFrame) -> DataFrame:
     return t.groupBy("tree_id").agg(F.count("*").alias("n_tips")).withColumn("n_missing", F.lit(total) - F.col("n_tips"))
 
 
+def wanted_by_all(edges: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The names (name, pos) that each tree lacks: (tree_id, name, pos) for graft, and (tree_id, species, genus, reason) it would skip.
+
+    Names meet trees by genus and never as a product that is shuffled; trees that have a name, in normal form, travel
+    with the name.
+    """
+    spaced = lambda c: F.regexp_replace(c, "_", " ")
+    labels = tips(edges).where("label is not null")
+    owners = labels.groupBy(normalise(F.col("label")).alias("name")).agg(F.collect_set("tree_id").alias("owners"))
+    # no genus is empty: an empty one stands for none
+    lists = wanted.join(owners, "name", "left").withColumn("g", F.coalesce(genus(spaced(F.col("name"))), F.lit("")))
+    possible = labels.select("tree_id", genus(spaced(F.col("label"))).alias("g")).where("g is not null").distinct()
+    absent = edges.select("tree_id").distinct().join(lists.select("g").distinct()).join(possible, ["tree_id", "g"], "left_anti")
+    n = 8 * edges.sparkSession.sparkContext.defaultParallelism
+    spread = lists.withColumn("s", F.pmod(F.xxhash64("name"), F.lit(SPREAD))).repartition(n, "g", "s")
+
+    def lacking(trees: DataFrame) -> DataFrame:
+        salted = trees.withColumn("s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))))
+        return spread.join(salted, ["g", "s"]).where("owners is null or not array_contains(owners, tree_id)")
+
+    skipped = lacking(absent).select(
+        "tree_id", F.col("name").alias("species"), F.nullif("g", F.lit("")).alias("genus"), F.when(F.col("g") == "", "Could not extract genus from name").otherwise("No congener in tree").alias("reason")
+    )
+    return lacking(possible).select("tree_id", "name", "pos"), skipped
+
+
 GRAFTED = "tree_id string, parent bigint, child bigint, edge_length double, label string, is_tip boolean, species string, genus string, placed_near string, branch_length double, n_congeners bigint, kind string"
 
 
@@ -395,9 +424,9 @@ def graft(
         tips_ = [{"label": r.label, "parent": r.parent, "child": r.child, "len": value(r.edge_length), "depth": value(r.depth), "old": True} for r in pdf[pdf["new"] == 0].itertuples()]
         anc, anc_depth = value(pdf["mrca"].iloc[0]), value(pdf["mrca_depth"].iloc[0])
         inner, log = [], []
+        known = sorted(t["len"] for t in tips_ if t["len"] is not None)  # kept sorted: a graft changes one length and adds one
         for r in pdf[pdf["new"] == 1].itertuples():
             first, n = tips_[0], len(tips_)
-            known = [t["len"] for t in tips_ if t["len"] is not None]
             bl = 0.0 if branch_length == "zero" else statistics.median(known) if branch_length == "congener_median" and known else (first["len"] or 0.0) / 2 if branch_length == "half_terminal" else 0.0
             tip_id, node_id = base + 2 * int(r.ord) - 1, base + 2 * int(r.ord)
             if where == "near" and n > 1 and anc is not None:
@@ -408,12 +437,18 @@ def graft(
                 if half > 0:
                     at = None if first["depth"] is None else first["depth"] - half
                     inner.append((node_id, first["parent"], half if lengths else None))
+                    if first["len"] is not None:
+                        del known[bisect_left(known, first["len"])]
                     first["parent"], first["len"], parent = node_id, half if lengths else None, node_id
+                    if lengths:
+                        insort(known, half)
                 else:
                     parent, at = first["parent"], first["depth"]
                 if n == 1:
                     anc, anc_depth = parent, at
             length = target - at if level and at is not None and target is not None else bl
+            if lengths:
+                insort(known, length)
             tips_.append({"label": r.label.replace(" ", "_"), "parent": parent, "child": tip_id, "len": length if lengths else None, "bl": bl, "depth": None if at is None else at + length, "old": False, "n": n, "near": near, "species": r.label})
         tree, g = pdf["tree_id"].iloc[0], pdf["genus"].iloc[0]
         for t in tips_:

@@ -123,22 +123,34 @@ _add("tip_consistency", f"WITH {LABELS} SELECT tree_id, count(*) AS n_tips, (SEL
 GENUS = "string_split(trim(replace({c}, '_', ' ')), ' ')[1]"
 
 
+def _wanted(spark: SparkSession, folder: str) -> DataFrame:
+    """All crosswalk targets, in the order of the crosswalk."""
+    return names(table(spark, folder, "crosswalk"), "to_name", "xw_id")
+
+
 def _grafts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All crosswalk targets, in the order of the crosswalk, grafted onto the first tree."""
-    e = first_tree(_edges(spark, folder))
-    wanted = names(table(spark, folder, "crosswalk"), "to_name", "xw_id")
-    tree = e.agg(F.min("tree_id")).first()[0]
-    have = T.tips(e).select(normalise(F.col("label")).alias("name"))
-    return T.graft(e, wanted.join(have, "name", "left_anti").select(F.lit(tree).alias("tree_id"), "name", "pos"))
+    """The crosswalk targets that a tree lacks grafted onto it, for every tree."""
+    e = _edges(spark, folder)
+    return T.graft(e, T.wanted_by_all(e, _wanted(spark, folder))[0])
+
+
+def _first_skipped(spark: SparkSession, folder: str) -> DataFrame:
+    """What grafting skips on the first tree."""
+    return T.wanted_by_all(first_tree(_edges(spark, folder)), _wanted(spark, folder))[1]
 
 
 _add("graft_genus", None, lambda s, f: _grafts(s, f)[0])
 _add("graft_report", None, lambda s, f: _grafts(s, f)[1])
+_add("graft_skipped_all", f"""WITH l AS (SELECT DISTINCT tree_id, {NORM('label')} AS name, {GENUS.format(c='label')} AS genus FROM tree_edges WHERE is_tip AND label IS NOT NULL),
+w AS (SELECT name, nullif({GENUS.format(c='name')}, '') AS genus FROM (SELECT DISTINCT to_name AS name FROM crosswalk WHERE to_name IS NOT NULL))
+SELECT t.tree_id, w.name AS species, w.genus, CASE WHEN w.genus IS NULL THEN 'Could not extract genus from name' ELSE 'No congener in tree' END AS reason
+FROM (SELECT DISTINCT tree_id FROM tree_edges) t CROSS JOIN w WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.tree_id = t.tree_id AND l.name = w.name)
+AND NOT EXISTS (SELECT 1 FROM l WHERE l.tree_id = t.tree_id AND l.genus = w.genus)""", lambda s, f: T.wanted_by_all(_edges(s, f), _wanted(s, f))[1])
 _add("graft_skipped", f"""WITH e AS (SELECT * FROM tree_edges WHERE tree_id = (SELECT min(tree_id) FROM tree_edges)),
 w AS (SELECT DISTINCT to_name AS name FROM crosswalk WHERE to_name IS NOT NULL AND to_name NOT IN (SELECT {NORM('label')} FROM e WHERE is_tip AND label IS NOT NULL)),
 g AS (SELECT name, nullif({GENUS.format(c='name')}, '') AS genus FROM w)
 SELECT (SELECT min(tree_id) FROM tree_edges) AS tree_id, name AS species, genus, CASE WHEN genus IS NULL THEN 'Could not extract genus from name' ELSE 'No congener in tree' END AS reason
-FROM g WHERE genus IS NULL OR genus NOT IN (SELECT {GENUS.format(c='label')} FROM e WHERE is_tip AND label IS NOT NULL)""", lambda s, f: _grafts(s, f)[2])
+FROM g WHERE genus IS NULL OR genus NOT IN (SELECT {GENUS.format(c='label')} FROM e WHERE is_tip AND label IS NOT NULL)""", _first_skipped)
 _add("placement_markers", "SELECT tree_id, child, label || m AS label, label AS clean, CASE m WHEN '' THEN 'exact' WHEN '*' THEN 'genus_added' ELSE 'family_added' END AS placement FROM (SELECT *, repeat('*', (child % 3)::INT) AS m FROM tree_edges WHERE is_tip)",
      lambda s, f: _markers(_edges(s, f)))
 

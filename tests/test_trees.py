@@ -1,14 +1,18 @@
 import itertools
 import math
 import random
+from pathlib import Path
 
 import pytest
 
+import __spark_entry__ as entry
 from speciesbridge.functions.schema import MAPPING, TREE
 from speciesbridge.operators import retrieval as R
 from speciesbridge.operators import trees as T
 from speciesbridge.sources import treefiles as N
 
+SMALL = Path("/root/testdata/sf0.001")
+
 
 class Model:
     """A tree as plain dictionaries, to check against."""
@@ -238,3 +242,25 @@ def test_comparison_without_pairs_is_of_all(forest, spark):
         assert every == {(r["tree_a"], r["tree_b"]): tuple(r) for r in compare(df, given).collect()}
     jac = {(r["tree_a"], r["tree_b"]): (r["n_shared"], r["n_only_a"], r["n_only_b"]) for r in T.compare_tips(df).collect()}
     assert jac["t0", "t2"] == (0, 9, 7) and jac["t1", "t3"] == (2, 10, 0)
+
+
+def test_every_tree_gets_what_it_lacks(spark, rows):
+    texts = {"t": "((Aus_one:6,Aus_two:6):4,Cus_one:10);", "u": "((Bus_one:3,Aus_two:3):4,Cus_one:7);"}
+    first, second = (N.tree_from_text(spark, text, i) for i, text in texts.items())
+    df = first.unionByName(second)
+    wanted = spark.createDataFrame([(n, i) for i, n in enumerate(["Aus one", "Aus two", "Bus one", "Bus two", "Dus one", " "])], "name string, pos int")
+    species, skipped = T.wanted_by_all(df, wanted)
+    assert rows(species, "tree_id", "name") == [("u", "Aus one"), ("u", "Bus two")]
+    none, no_genus = "No congener in tree", "Could not extract genus from name"
+    assert rows(skipped) == [("t", " ", None, no_genus), ("t", "Bus one", "Bus", none), ("t", "Bus two", "Bus", none), ("t", "Dus one", "Dus", none), ("u", " ", None, no_genus), ("u", "Dus one", "Dus", none)]
+    tree, added, _ = T.graft(df, species)
+    assert rows(added, "tree_id", "species") == [("u", "Aus one"), ("u", "Bus two")]
+    assert rows(tree.where("is_tip").groupBy("tree_id").count()) == [("t", 3), ("u", 5)]
+
+
+@pytest.mark.skipif(not SMALL.exists(), reason="no test tables")
+def test_grafting_covers_the_forest(spark):
+    trees = entry.queries()["tips"](spark, str(SMALL)).select("tree_id").distinct().count()
+    assert trees > 1
+    for name in ("graft_genus", "graft_report", "graft_skipped_all"):
+        assert entry.queries()[name](spark, str(SMALL)).select("tree_id").distinct().count() == trees
