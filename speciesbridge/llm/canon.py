@@ -99,7 +99,7 @@ class Hits:
 
 def _least(prefix: np.ndarray, node: np.ndarray, owed: np.ndarray, slips: np.ndarray) -> tuple[np.ndarray, ...]:
     """Each state once, with its fewest slips."""
-    key = (prefix * 2097152 + node) * 2 + (owed > 0)
+    key = (prefix * (node.max(initial=0) + 1) + node) * 2 + (owed > 0)
     # an owed letter belongs to its node: the state after it is the node itself, so the key need not hold it
     order = np.lexsort((slips, owed, key))
     key, o = key[order], owed[order]

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -66,3 +67,10 @@ def test_the_reference_list_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(K, "MOST_ENTRIES", 3)
     with pytest.raises(ValueError):
         K.canonical_matches(spark.createDataFrame([(1, "a")], "id int, a string"), "id", {"a": "species"}, spark.createDataFrame(ENTRIES, "ref_id bigint, kind string, canonical string"))
+
+
+def test_states_of_a_large_trie_stay_apart():
+    far = 1 << 21
+    prefix, node, owed, slips = (np.array(x) for x in ([0, 1, 1], [far, 0, 0], [0, 0, 0], [0, 1, 0]))
+    found = K._least(prefix, node, owed, slips)
+    assert sorted(zip(*(x.tolist() for x in found))) == [(0, far, 0, 0), (1, 0, 0, 0)]
