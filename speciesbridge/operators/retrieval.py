@@ -37,7 +37,7 @@ class TableProvider:
 
     def fetch(self, query: DataFrame, n_tree: int) -> DataFrame:
         ids = self.edges.select("tree_id").distinct().orderBy("tree_id").limit(n_tree)
-        return self.edges.join(F.broadcast(ids), "tree_id", "left_semi") if n_tree < 100_000 else self.edges
+        return self.edges.join(F.broadcast(ids) if n_tree < 100_000 else ids, "tree_id", "left_semi")
 
 
 @dataclass

@@ -264,3 +264,8 @@ def test_grafting_covers_the_forest(spark):
     assert trees > 1
     for name in ("graft_genus", "graft_report", "graft_skipped_all"):
         assert entry.queries()[name](spark, str(SMALL)).select("tree_id").distinct().count() == trees
+
+
+def test_provider_stops_at_many_trees_too(spark):
+    edges = spark.range(100_001).selectExpr("cast(id as string) as tree_id", "2L as parent", "1L as child", "1.0D as edge_length", "'a' as label", "true as is_tip")
+    assert R.TableProvider("table", edges).fetch(None, 100_000).count() == 100_000
