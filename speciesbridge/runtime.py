@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NullType, StructField, StructType
 
 PACKAGE = Path(__file__).resolve().parent
 #: A key with more rows than this is spread over SALTS tasks. The list of such keys has at most rows / HOT_ROWS
 #: entries of some 24 bytes, that is, about a millionth of the data it was counted on.
 HOT_ROWS = 200_000
-#: Estimates of so many bytes and more say nothing.
-SANE_SIZE = 1 << 60
 SALTS = 64
+#: Spark deletes the shuffles of an action when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _shipped: set[str] = set()
+_own_folders: dict[str, str] = {}
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def ship(spark: SparkSession) -> None:
@@ -34,23 +41,59 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the cluster's spark.checkpoint.dir, or what the session was given.
+
+    Only a local session (tests, a laptop) gets a folder of its own; a cluster without a shared folder is an error, as
+    its nodes would write to different disks.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not (spark.conf.get("spark.master", None) or "local").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if "own" not in _own_folders:
+        _own_folders["own"] = tempfile.mkdtemp(prefix="cuts-")
+        atexit.register(shutil.rmtree, _own_folders["own"], ignore_errors=True)
+    return _own_folders["own"]
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder and read it back: lineage ends, and lost executors lose nothing.
+    """Write df as a table to the shared folder and read it back: lineage ends, and lost executors lose nothing.
 
-    The folder is the cluster's spark.checkpoint.dir; only where that is unset (tests, a laptop) a local one is made.
+    Being a table it has its real size for the planner, and only the columns asked for are read again. Columns may have
+    any names, repeated ones too; those of type void stay void. The shuffles behind it are deleted once it is written;
+    discard() deletes the table itself before the session ends.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        own = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="checkpoint-"))
-    done = df.checkpoint(eager=True)
-    # A checkpoint keeps the size that was estimated for its plan. Over rounds of joins that is a product of products with
-    # thousands of digits, and the planner drowns in it; beyond any real size it is forgotten.
-    plan = done._jdf.queryExecution()
-    if plan.optimizedPlan().stats().sizeInBytes() < SANE_SIZE:
-        return done
-    session = df.sparkSession
-    return DataFrame(session._jsparkSession.internalCreateDataFrame(plan.toRdd(), done._jdf.schema(), False), session)
+    spark, names = df.sparkSession, df.columns
+    path = f"{_shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    places = [f"c{i}" for i in range(len(names))]
+    void = {c for c, f in zip(places, df.schema.fields) if isinstance(f.dataType, NullType)}
+    placed = df.toDF(*places)
+    cleaned = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        placed.select(F.lit(0).alias("_"), *[c for c in places if c not in void]).write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if cleaned is None else spark.conf.set(CLEAN_UP, cleaned)
+    kept = StructType([StructField(c, f.dataType) for c, f in zip(places, df.schema.fields) if c not in void])
+    back = spark.read.schema(kept).parquet(path).select(*[F.lit(None).alias(c) if c in void else c for c in places]).toDF(*names)
+    _paths[back] = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that cut() wrote; df and what is derived from it can't be read any more."""
+    path = _paths.pop(df, None)
+    if path is None:
+        return
+    local = path.removeprefix("file://") if path.startswith("file:") else path
+    if os.path.isdir(local):
+        shutil.rmtree(local, ignore_errors=True)
+        return
+    jvm = df.sparkSession.sparkContext._jvm  # Python has no way of its own to a distributed file system
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
