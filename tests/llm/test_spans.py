@@ -85,3 +85,42 @@ def test_covers_are_difference_covers():
 def test_squeezing_loses_nothing(seed):
     h = np.sort(np.random.default_rng(seed).integers(0, 2**64, [0, 1, 5000][seed], dtype=np.uint64))
     assert (S._unsqueeze(S._squeeze(h)) == h).all()
+
+
+def thue_morse(a, b, n=128):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_texts_of_one_hash_are_told_apart(spark, rows):
+    # polynomials modulo 2^64 can't tell these two texts apart, which differ at 128 positions
+    a, b = "\U00012542", "\U0001f4b2"
+    head, tail = "".join(chr(97 + i % 26) for i in range(56)), "the end of both."
+    one, two = head + thue_morse(a, b) + tail, head + thue_morse(b, a) + tail
+    assert len(one) == 200
+    rolling = [S.Rolling(np.array([ord(c) for c in t], np.uint32)).windows(np.zeros(1, np.int64), 200) for t in (one, two)]
+    assert rolling[0] == rolling[1]
+    for batch in (3_000_000, 300):
+        run = lambda docs: rows(S.shared_spans(spark.createDataFrame([(k, t, 0) for k, t in docs], SCHEMA), "doc_id", "text", 200, batch))  # noqa: B023, E731
+        assert run([("x", one), ("y", two)]) == []
+        docs = [("x", one), ("y", "+" + two + "?"), ("z", "--" + one + "!"), ("w", one[:150]), ("v", two * 2)]
+        assert run(docs) == brute(docs, 200)
+
+
+@pytest.mark.parametrize("fan", [2, 4])
+def test_questions_in_several_hops(spark, rows, monkeypatch, fan):
+    monkeypatch.setattr(S, "FAN", fan)
+    monkeypatch.setattr(S, "BUCKET_HASHES", 150)
+    docs = make(7, 30)
+    df = spark.createDataFrame([(k, t, 1) for k, t in docs], SCHEMA)
+    assert len(S._hops(11)) > 1
+    assert rows(S.shared_spans(df, "doc_id", "text", 30, 900)) == brute(docs, 30)
+
+
+def test_equal_compares_stretches(monkeypatch):
+    monkeypatch.setattr(S, "COMPARED", 7)
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 2, 200), rng.integers(0, 2, 200)
+    b[40:120] = a[30:110]
+    at = np.concatenate([np.arange(5, 150), rng.integers(0, 190, 60)])
+    to = np.concatenate([np.arange(15, 160), rng.integers(0, 190, 60)])
+    assert (S._equal(a, at, b, to, 5) == [(a[i : i + 5] == b[j : j + 5]).all() for i, j in zip(at, to)]).all()
