@@ -26,7 +26,7 @@ COVERS = {
 #: Code points of the documents that are processed together, on average; a worker holds some 60 bytes for each.
 BATCH_CHARS = 3_000_000
 #: Hashes of a bucket on average, if every position of the cover gives one; a worker holds some 50 bytes for each.
-BUCKET_HASHES = 2_000_000
+BUCKET_HASHES = 1_000_000
 #: Of code points one in so many is taken to start a span that may be shared; should all do, buckets are as much larger.
 STARTS_SHARE = 4
 #: Buckets that a batch sends to directly, and batches of a block; beyond, messages are sorted in more than one hop.
@@ -298,7 +298,7 @@ def _judged(questions: DataFrame, batches: int, hops: list[int], chain: int, wid
         return asked.answered(asked.shared, asked.before, chain)
 
     if len(hops) == 1:
-        return _spread(questions, 2 * hops[0], "bucket").groupBy("bucket").applyInArrow(judge, MESSAGE)
+        return _spread(questions, 4 * hops[0], "bucket").groupBy("bucket").applyInArrow(judge, MESSAGE)
     bits = FAN.bit_length() - 1 + width
     blocks = questions.withColumn("block", F.shiftright("batch", bits - width))
     keyed = _spread(blocks, 2 * hops[0] * -(-batches // FAN), "block", "bucket").groupBy("block", "bucket")
@@ -362,7 +362,7 @@ def shared_spans(df: DataFrame, key: str, text: str, span: int = 200, batch_char
     few = min(12, math.ceil(total / 100_000))
     anchor_hops = _hops(max(few, math.ceil(total * len(COVERS[v]) / v / BUCKET_HASHES), 1))
     span_hops = _hops(max(few, math.ceil(total / STARTS_SHARE / BUCKET_HASHES), 1))
-    docs = _spread(rows.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches))), batches, "batch").groupBy("batch")
+    docs = _spread(rows.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches))), 2 * batches, "batch").groupBy("batch")
     kind = df.schema[key].dataType.simpleString()
 
     def own(rows_: list[tuple]) -> tuple:
@@ -464,7 +464,7 @@ def shared_spans(df: DataFrame, key: str, text: str, span: int = 200, batch_char
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        return docs.cogroup(_spread(out, batches, "batch").groupBy("batch"))
+        return docs.cogroup(_spread(out, 2 * batches, "batch").groupBy("batch"))
 
     marked = lambda df_, mark: df_.withColumn("c", F.lit(mark).cast("binary"))
     anchors = _judged(docs.applyInArrow(ask_anchors, MESSAGE), batches, anchor_hops, 0)
@@ -500,7 +500,7 @@ def _marked(questions: DataFrame, hops: list[int]) -> DataFrame:
         flags = [np.isin(_unsqueeze(r[2]), odd) for r in rest]
         return _message([r[0] for r in rest], [r[1] for r in rest], [len(f).to_bytes(8, "little") for f in flags], [_bits(f) for f in flags])
 
-    return _spread(questions, 2 * hops[0], "bucket").groupBy("bucket").applyInArrow(mark, MESSAGE)
+    return _spread(questions, 4 * hops[0], "bucket").groupBy("bucket").applyInArrow(mark, MESSAGE)
 
 
 def _joined(found: DataFrame) -> DataFrame:

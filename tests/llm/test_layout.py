@@ -1,6 +1,7 @@
 import random
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -43,7 +44,7 @@ def test_empty_and_single(spark, rows):
 def test_colliding_hashes_are_told_apart(spark, rows, monkeypatch):
     """With a hash that is the same for all, the comparison alone has to find the records."""
 
-    def weak(fields):
+    def weak(fields, number=0):
         from pyspark.sql import functions as F
 
         return F.struct(F.array(*[F.lit(0).cast("bigint") for _ in fields]).alias("k"), F.length(F.regexp_replace(F.concat_ws("", *fields), r"[^\p{L}\p{N}\p{M}]", "")).cast("bigint").alias("n"))
@@ -68,5 +69,40 @@ def test_records_and_counts(spark, rows):
 def test_hash_is_of_what_counts():
     h, n = L.field_hashes(pa.array(["Ab-c", "aB C", "abd", None, ""]))
     assert h[0] == h[1] != h[2] and n.tolist() == [3, 3, 3, 0, 0]
-    table = L.fold_table()
-    assert L.same_but_layout("A-b", "ab!!", table) and not L.same_but_layout("ab", "abc", table) and L.same_but_layout("", "--", table)
+    own, other = L.Folded(pa.array(["A-b", "ab", "", "Ωé𝘗!", None])), L.Folded(pa.array(["ab!!", "abc", "--", "ω é ­𝘗", ""]))
+    every = np.arange(5)
+    assert L.same_but_layout(own, every, other, every).tolist() == [True, False, True, True, True]
+    assert L.same_but_layout(own, np.array([3, 1]), other, np.array([0, 0])).tolist() == [False, True]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_bytes_give_the_code_points(seed):
+    rng = random.Random(seed)
+    values = ["".join(chr(rng.choice([65, 97, 233, 0x3A9, 0x4E2D, 0xFF21, 0x1D4D0, 0x200B, 32])) for _ in range(rng.randint(0, 9))) for _ in range(200)]
+    folded, table = L.Folded(pa.array(values)), L.fold_table()
+    want = [[int(table[ord(c)]) for c in v if table[ord(c)]] for v in values]
+    got = [folded.value[i:j][folded.value[i:j] > 0].tolist() for i, j in zip(folded.at, folded.at[1:])]
+    assert got == want and folded.sizes.tolist() == list(map(len, want))
+    for number in range(3):
+        for f, h in zip(want, folded.hashes(number)):
+            out = 0
+            for prime, base in zip(L.PRIMES, L.bases(number)):
+                value = 0
+                for x in f:
+                    value = (value * base + x) % prime
+                out = out << 31 | value
+            assert out == h
+
+
+def test_equal_hashes_within_a_row(monkeypatch):
+    monkeypatch.setattr(L.Folded, "hashes", lambda self, number=0: self.sizes * 0)
+    own = [L.Folded(pa.array(["a", "b", "a"])), L.Folded(pa.array(["b", "a", "a"]))]
+    other = [L.Folded(pa.array(["B", "b", "a"])), L.Folded(pa.array(["A!", "a", "b"]))]
+    assert L.same_records(own, other).tolist() == [True, True, False]
+
+
+def test_keys_given_twice(spark, rows):
+    d = [(1, "alpha", "beta", ""), (1, "gamma", "delta", ""), (2, "ALPHA", "beta", ""), (3, "GAMMA", "delta", ""), (4, "alpha!", "beta", "")]
+    run = lambda d: rows(L.layout_copies(spark.createDataFrame(d, SCHEMA), "map_id", ["x", "y"]))
+    assert run(d) == [(1, 2), (1, 3), (1, 4)]
+    assert run([(1, "a", "b", ""), (1, "a", "b", ""), (1, "B", "a", "")]) == []
