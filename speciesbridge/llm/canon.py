@@ -7,27 +7,32 @@ states of their common prefixes, and a prefix without states is dropped with all
 
 from __future__ import annotations
 
+import math
 import re
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import cut, salted_join, ship
 from . import codepoints as C
 from .consistent import consistent
 from .layout import fold_table
 
-#: The reference list is held in every worker: it may have so many entries, some 100 bytes each in the trie.
-MOST_ENTRIES = 2_000_000
+#: Entries that a worker holds at a time, some 2 kB each with their alias paths; a longer list is searched in parts.
+PART_ENTRIES = 50_000
 #: Values searched at a time.
 BATCH = 120_000
 # Words after a name that are ranks or qualifiers, not authors.
 NO_AUTHOR = {"subsp", "ssp", "var", "f", "forma", "cf", "aff", "sp", "spp", "nr", "x", "cv", "subg", "sect", "morph"}
-AUTHOR = re.compile(r"[\s_,.;:*†!?\"'”»\]]*\(?\s*(?:[^\W\d_][\w’'´`.\-‐–]*[\s_,]*(?:&|\+|\bet\b|\band\b|\bex\b|\bin\b|,)?[\s_]*){1,8}(?:,?[\s_]*\(?\d{4}[a-z]?\)?)?[\W_]*")
+#: Words (with apostrophes, hyphens and points inside) and numbers; no two ways to read a text, so it is read once.
+TOKEN = re.compile(r"[^\W\d_]++(?:[’'´`.\-‐–][^\W\d_]++)*+|\d++")
+#: Words of an author, and authors one after the other (the first one's year, then who moved the name).
+AUTHOR_WORDS, AUTHORS = 8, 2
 
 
 def slips_allowed(length: int) -> int:
@@ -37,46 +42,57 @@ def slips_allowed(length: int) -> int:
 
 @dataclass
 class Trie:
-    """Child edges sorted by (node, letter); node 0 is the root."""
-
-    node: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    letter: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    child: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    count: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    entry: np.ndarray = field(default_factory=lambda: np.full(1, -1, np.int64))
-    budget: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    """Child edges sorted by (node, letter); node 0 is the root. Each node has the entries that end there, mostly none."""
+
+    key: np.ndarray
+    letter: np.ndarray
+    child: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+    budget: np.ndarray  # slips allowed to the entries that end at the node, -1 if none does
+    entry: np.ndarray
+    entry_first: np.ndarray
+    entry_count: np.ndarray
 
     @staticmethod
     def of(paths: list[tuple[tuple[int, ...], int]]) -> Trie:
-        """paths: (letters, entry). Of two entries on one path the first stays."""
-        children: list[dict[int, int]] = [{}]
-        entry, budget = [-1], [0]
-        for letters, e in paths:
-            at = 0
-            for c in letters:
-                nxt = children[at].get(c)
-                if nxt is None:
-                    nxt = children[at][c] = len(children)
-                    children.append({})
-                    entry.append(-1)
-                    budget.append(0)
-                at = nxt
-            if at and entry[at] < 0:
-                entry[at], budget[at] = e, slips_allowed(len(letters))
-        edges = np.array([(n, c, t) for n, kids in enumerate(children) for c, t in kids.items()], np.int64).reshape(-1, 3)
-        edges = edges[np.lexsort((edges[:, 1], edges[:, 0]))]
-        count = np.array([len(kids) for kids in children], np.int64)
-        return Trie(edges[:, 0], edges[:, 1], edges[:, 2], np.cumsum(count) - count, count, np.array(entry), np.array(budget))
-
-    def __post_init__(self) -> None:
-        self.key = self.node << 21 | self.letter
+        """paths: (letters, entry). All entries of a path are kept; paths without letters are left out."""
+        paths = sorted({(p, e) for p, e in paths if p})
+        lengths = np.array([len(p) for p, _ in paths], np.int64)
+        width = int(lengths.max(initial=0))
+        letters = np.zeros((len(paths), width), np.uint32)
+        letters[np.arange(width) < lengths[:, None]] = np.fromiter((c for p, _ in paths for c in p), np.uint32, int(lengths.sum()))
+        same = letters[1:] == letters[:-1]
+        shared = np.concatenate([[0], np.where(same.all(axis=1), width, same.argmin(axis=1))]) if len(paths) else lengths
+        # a path makes the nodes beyond what it shares with the one before it; paths being sorted, all others are there
+        made = (np.arange(width) >= shared[:, None]) & (np.arange(width) < lengths[:, None])
+        nodes = np.zeros(made.shape, np.int32)
+        nodes[made] = np.arange(1, int(made.sum()) + 1)
+        nodes = np.maximum.accumulate(nodes, axis=0) if len(paths) else nodes
+        parent = np.concatenate([np.zeros((len(paths), 1), np.int32), nodes[:, :-1]], axis=1)[made] if width else np.zeros(0, np.int32)
+        child, letter = nodes[made], letters[made]
+        order = np.lexsort((letter, parent))
+        size = len(child) + 1
+        count = np.bincount(parent, minlength=size).astype(np.int32)
+        ends = nodes[np.arange(len(paths)), lengths - 1] if width else np.zeros(0, np.int32)
+        by_node = np.argsort(ends, kind="stable")
+        entry_count = np.bincount(ends, minlength=size).astype(np.int32)
+        budget = np.full(size, -1, np.int8)
+        budget[ends] = [slips_allowed(n) for n in lengths.tolist()]
+        entry = np.array([e for _, e in paths], np.int64)[by_node]
+        first = lambda n: (np.cumsum(n) - n).astype(np.int32)
+        key = parent[order].astype(np.int64) << 21 | letter[order]
+        return Trie(key, letter[order], child[order], first(count), count, budget, entry, first(entry_count), entry_count)
+
+    @property
+    def nbytes(self) -> int:
+        return sum(v.nbytes for v in vars(self).values())
 
     def step(self, nodes: np.ndarray, letters: np.ndarray) -> np.ndarray:
         """The child by that letter, -1 where there is none."""
         if not len(self.key):
             return np.full(len(nodes), -1, np.int64)
-        key = nodes << 21 | letters
+        key = nodes.astype(np.int64) << 21 | letters
         at = np.searchsorted(self.key, key).clip(max=len(self.key) - 1)
         return np.where(self.key[at] == key, self.child[at], -1)
 
@@ -87,16 +103,6 @@ class Trie:
         return np.repeat(np.arange(len(nodes)), n), self.child[at], self.letter[at]
 
 
-@dataclass
-class Hits:
-    """Entries met: at the position after so many letters of the (sorted) prefix, with so many slips."""
-
-    prefix: np.ndarray
-    length: np.ndarray
-    entry: np.ndarray
-    slips: np.ndarray
-
-
 def _least(prefix: np.ndarray, node: np.ndarray, owed: np.ndarray, slips: np.ndarray) -> tuple[np.ndarray, ...]:
     """Each state once, with its fewest slips."""
     key = (prefix * (node.max(initial=0) + 1) + node) * 2 + (owed > 0)
@@ -109,12 +115,12 @@ def _least(prefix: np.ndarray, node: np.ndarray, owed: np.ndarray, slips: np.nda
 
 
 def _finals(trie: Trie, node: np.ndarray, slips: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(which state, entry, slips) of entries that end here or within the letters that may still be missing."""
+    """(which state, node, slips) of nodes with entries, here or within the letters that may still be missing."""
     which, e, s = [], [], []
     at, idx, n = node, np.arange(len(node)), slips
     while len(at):
-        ok = (trie.entry[at] >= 0) & (n <= trie.budget[at])
-        which.append(idx[ok]), e.append(trie.entry[at[ok]]), s.append(n[ok])
+        ok = n <= trie.budget[at]
+        which.append(idx[ok]), e.append(at[ok]), s.append(n[ok])
         go = n < most
         k, child, _ = trie.fan(at[go])
         at, idx, n = child, idx[go][k], n[go][k] + 1
@@ -191,7 +197,12 @@ def search(trie: Trie, letters: np.ndarray, lengths: np.ndarray, ends: np.ndarra
         parts.append((to[j[two][j2[ok]]], after[ok], np.zeros(int(ok.sum()), np.int64), s[j[two][j2[ok]]] + 1))  # two missing
         prefix, node, owed, slips = _least(*(np.concatenate(x) for x in zip(*parts)))
         first, size = next_first, next_size
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.zeros(0, np.int64) for _ in range(4))
+    if not out:
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    rows, read, node, used = (np.concatenate(x) for x in zip(*out))
+    n = trie.entry_count[node]
+    every = np.repeat(np.arange(len(node)), n)
+    return rows[every], read[every], trie.entry[C.spread(trie.entry_first[node], n)], used[every]
 
 
 def alias_paths(entries: list[tuple[int, str]], words: bool) -> list[tuple[tuple[int, ...], int]]:
@@ -210,13 +221,29 @@ def alias_paths(entries: list[tuple[int, str]], words: bool) -> list[tuple[tuple
 
 
 def author_like(rest: str) -> bool:
-    """Whether what follows a name is nothing or an author, with or without year."""
-    words = re.findall(r"[^\W\d_]+", rest)
-    if not words:
-        return not re.search(r"\d", rest)
-    if any(w.lower() in NO_AUTHOR for w in words if len(w) > 1 or w.islower()) and not re.search(r"\d{4}", rest):
-        return False
-    return AUTHOR.fullmatch(rest) is not None
+    """Whether what follows a name is nothing or an author, with or without year, or two of them.
+
+    The text is read once from left to right as words and numbers; white space and punctuation don't count.
+    """
+    words, authors, dated = 0, 0, False
+    ranked = False
+    for token in TOKEN.finditer(rest):
+        t = token.group()
+        if t.isdigit():
+            if len(t) != 4 or not words or dated:
+                return False
+            dated = True
+            continue
+        # a letter behind a year belongs to it, as in 1857b
+        if dated and len(t) == 1 and t.islower() and token.start() and rest[token.start() - 1].isdigit():
+            continue
+        if not words or dated:
+            authors, words, dated = authors + 1, 0, False
+        words += 1
+        ranked |= (len(t) > 1 or t.islower()) and t.lower() in NO_AUTHOR
+        if authors > AUTHORS or words > AUTHOR_WORDS:
+            return False
+    return not ranked or dated
 
 
 class Matcher:
@@ -230,17 +257,18 @@ class Matcher:
         self.trie = Trie.of(paths)
         self.deepest = max((len(x) for x, _ in paths), default=0)
 
-    def match(self, values: pa.Array) -> np.ndarray:
+    def entries_of(self, values: pa.Array) -> list[tuple[int, int, int, int]]:
+        """(value, slips, minus letters read, entry) of all entries within their slips of each value, best first."""
         cps, at, _ = consistent(*C.decode(values))
         folded = fold_table()[cps]
         kept = folded > 0
         before = np.concatenate([[0], np.cumsum(kept)])
         starts, lengths = before[at[:-1]], before[at[1:]] - before[at[:-1]]
         letters, place = (folded[kept] - 1), np.flatnonzero(kept)
-        n, out = len(lengths), np.full(len(lengths), -1, np.int64)
+        n = len(lengths)
         width = int(min(self.deepest + 2, lengths.max(initial=0)))
         if not width:
-            return out
+            return []
         lengths_cut = np.minimum(lengths, width)
         col = np.arange(width)
         inside = col < lengths_cut[:, None]
@@ -265,92 +293,150 @@ class Matcher:
         order = np.argsort(view, kind="stable")
         rows, read, entry, slips = search(self.trie, matrix[order], lengths_cut[order], ends[order])
         rows = order[rows]
-        best: dict[int, tuple] = {}
-        for r, k, e, s in zip(rows.tolist(), read.tolist(), entry.tolist(), slips.tolist()):
-            whole = k == lengths[r]
-            rank = (s, -k, e)
-            if r in best and best[r] <= rank:
+        tails: dict[tuple[int, int], bool] = {}
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        for r, k, e, n_slips in zip(rows.tolist(), read.tolist(), entry.tolist(), slips.tolist()):
+            if best.get((r, e), (9, 0)) <= (n_slips, -k):
                 continue
-            if not whole:
-                cut = int(place[starts[r] + k - 1]) + 1
-                if not author_like("".join(map(chr, cps[cut : at[r + 1]].tolist()))):
+            if k != lengths[r]:
+                good = tails.get((r, k))
+                if good is None:
+                    cut_ = int(place[starts[r] + k - 1]) + 1
+                    good = tails[r, k] = author_like("".join(map(chr, cps[cut_ : at[r + 1]].tolist())))
+                if not good:
                     continue
-            best[r] = rank
-        for r, (_, _, e) in best.items():
+            best[r, e] = (n_slips, -k)
+        return sorted((r, n_slips, k, e) for (r, e), (n_slips, k) in best.items())
+
+    def match(self, values: pa.Array) -> np.ndarray:
+        """The entry that each value means, -1 if none: of several the first as entries_of() has them."""
+        out = np.full(len(values), -1, np.int64)
+        for r, _, _, e in reversed(self.entries_of(values)):
             out[r] = e
         return out
 
 
-_matchers: dict[tuple, dict[str, Matcher]] = {}
+_matchers: dict[str, dict[str, Matcher]] = {}
 
 
-def canonical_matches(
-    df: DataFrame, key: str, fields: dict[str, str], reference: DataFrame, words: tuple[str, ...] = ("species",)
-) -> DataFrame:
-    """(key, field_name, ref_id): the entry each typed value means, -1 if none.
+def _cells(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
+    """(key, field_no, kind, value) of all values that hold more than white space."""
+    cell = lambda i, c: F.struct(F.lit(i).alias("field_no"), F.lit(fields[c]).alias("kind"), F.col(f"`{c}`").alias("value"))
+    cells = df.select(F.col(f"`{key}`").alias("key"), F.inline(F.array(*[cell(i, c) for i, c in enumerate(fields)])))
+    return cells.where(F.col("value").rlike(r"[^\s\p{Z}\x{85}\x{1C}-\x{1F}]"))
 
-    fields: kind of entry for each field. reference: ref_id, kind, canonical. Values that are NULL, hold only white
-    space or equal an entry to the letter are left out; every other value of every row gives one row, repeated rows
-    and keys included. Case, white space, punctuation and characters that only look different don't count. For kinds
-    in `words` an author may follow, the first word may be cut to its first letter and two words may be exchanged.
-    Of several entries the one with fewest slips is taken, then that with most letters read, then the smallest id.
-    A kind without entries gives -1 for all its values. Only key and fields are read; extra columns don't matter.
 
-    The reference list is collected: it is checked to have at most MOST_ENTRIES rows and raises beyond. The rest is a
-    map over Arrow batches without a shuffle, so hot values and hot keys have no weight; within a batch each distinct
-    value is searched once.
+def _searched(cells: DataFrame, listed: list[tuple], words: tuple[str, ...], keep: list[str], every: bool) -> DataFrame:
+    """(*keep, ref_id, slips, read) of each cell: the entry meant, or all entries within their slips; -1 if none.
+
+    Cells that equal one of the listed entries to the letter are left out. A map over Arrow batches, in which each
+    distinct value is searched once.
     """
-    ship(df.sparkSession)
-    kinds = sorted(set(fields.values()))
-    entries = reference.where(F.col("kind").isin(kinds) & F.col("canonical").isNotNull()).select("ref_id", "kind", "canonical")
-    listed = [tuple(r) for r in entries.limit(MOST_ENTRIES + 1).collect()]
-    if len(listed) > MOST_ENTRIES:
-        raise ValueError(f"the reference list has more than {MOST_ENTRIES} entries")
-    by_kind = {k: [(r, t) for r, kk, t in listed if kk == k] for k in kinds}
-    name = (df.sparkSession.sparkContext.applicationId, hash(tuple(sorted(listed))), words)
-    held = df.sparkSession.sparkContext.broadcast(by_kind)
-    kind_of = [fields[f] for f in fields]
-    names = list(fields)
+    spark = cells.sparkSession
+    held = spark.sparkContext.broadcast(listed)
+    name = uuid.uuid4().hex
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _matchers:
             _matchers.clear()
-            _matchers[name] = {k: Matcher(e, k in words) for k, e in held.value.items()}
-        matchers = _matchers[name]
-        waiting: list[pa.RecordBatch] = []
+            kinds = sorted({k for _, k, _ in held.value})
+            _matchers[name] = {k: Matcher([(r, t) for r, kk, t in held.value if kk == k], k in words) for k in kinds}
+        matchers, waiting = _matchers[name], []
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
             t = pa.Table.from_batches(waiting)
             waiting.clear()
-            field_no, value = C.flat(t["field_no"]), C.flat(t["value"])
-            numbers, refs = np.asarray(field_no), np.full(len(value), -1, np.int64)
-            keep = np.ones(len(value), bool)
-            for kind in sorted(set(kind_of)):
-                mine = np.flatnonzero(np.isin(numbers, [i for i, k in enumerate(kind_of) if k == kind]))
-                coded = value.take(pa.array(mine)).dictionary_encode()
-                matcher, distinct = matchers[kind], coded.dictionary
-                found = matcher.match(distinct)
+            cell, ref, slips, read = [], [], [], []
+            kinds = C.flat(t["kind"]).dictionary_encode()
+            for number, kind in enumerate(kinds.dictionary.to_pylist()):
+                mine = np.flatnonzero(np.asarray(kinds.indices) == number)
+                coded = C.flat(t["value"]).take(pa.array(mine)).dictionary_encode()
+                matcher, distinct = matchers.get(kind), coded.dictionary
+                hits = np.array(matcher.entries_of(distinct) if matcher else [], np.int64).reshape(-1, 4)
+                if not every:
+                    hits = hits[np.concatenate([[True], hits[1:, 0] != hits[:-1, 0]])[: len(hits)]]
+                n = np.bincount(hits[:, 0], minlength=len(distinct))
+                none = np.flatnonzero(n == 0)
+                hits = np.concatenate([hits, np.stack([none, none * 0, none * 0, none * 0 - 1], axis=1)])
+                hits, n = hits[np.argsort(hits[:, 0], kind="stable")], np.maximum(n, 1)
+                exact = np.fromiter((matcher is not None and x in matcher.exact for x in distinct.to_pylist()), bool, len(distinct))
                 codes = np.asarray(coded.indices)
-                refs[mine] = found[codes]
-                exact = np.fromiter((x in matcher.exact for x in distinct.to_pylist()), bool, len(distinct))
-                keep[mine] = ~exact[codes]
-            yield pa.RecordBatch.from_arrays(
-                [C.flat(t["key"]), pa.array(names).take(field_no), pa.array(refs)], ["key", "field_name", "ref_id"]
-            ).filter(pa.array(keep))
+                codes, mine = codes[~exact[codes]], mine[~exact[codes]]
+                at = C.spread((np.cumsum(n) - n)[codes], n[codes])
+                cell.append(np.repeat(mine, n[codes])), ref.append(hits[at, 3]), slips.append(hits[at, 1]), read.append(-hits[at, 2])
+            taken = t.select(keep).take(pa.array(np.concatenate(cell)))
+            columns = [C.flat(c) for c in taken.columns] + [pa.array(np.concatenate(x)) for x in (ref, slips, read)]
+            return pa.RecordBatch.from_arrays(columns, [*keep, "ref_id", "slips", "read"])
 
         n = 0
         for b in batches:
             waiting.append(b)
             n += b.num_rows
             if n >= BATCH:
-                yield from flush()
+                yield flush()
                 n = 0
         if n:
-            yield from flush()
-
-    kind = df.schema[key].dataType.simpleString()
-    cells = df.select(
-        F.col(f"`{key}`").alias("key"),
-        F.inline(F.array(*[F.struct(F.lit(i).alias("field_no"), F.col(f"`{c}`").alias("value")) for i, c in enumerate(names)])),
-    ).where(F.col("value").rlike(r"[^\s\p{Z}\x{85}\x{1C}-\x{1F}]"))
-    return cells.mapInArrow(lead, f"key {kind}, field_name string, ref_id bigint").withColumnRenamed("key", key)
+            yield flush()
+
+    schema = ", ".join(f"`{c}` {cells.schema[c].dataType.simpleString()}" for c in keep)
+    return cells.mapInArrow(lead, f"{schema}, ref_id bigint, slips bigint, read bigint")
+
+
+def _matched(df: DataFrame, key: str, fields: dict[str, str], reference: DataFrame, words: tuple[str, ...], every: bool) -> DataFrame:
+    ship(df.sparkSession)
+    cells = _cells(df, key, fields)
+    entries = reference.where(F.col("kind").isin(*set(fields.values())) & F.col("canonical").isNotNull()).select("ref_id", "kind", "canonical").distinct()
+    n = entries.count()
+    if n <= PART_ENTRIES:
+        found = _searched(cells, sorted(map(tuple, entries.collect())), words, ["key", "field_no"], every)
+    else:
+        # part after part of the list is searched for each distinct value; what is found is put beside the cells
+        parts = math.ceil(1.3 * n / PART_ENTRIES)
+        entries = cut(entries.withColumn("part", F.pmod(F.xxhash64("ref_id", "kind", "canonical"), F.lit(parts))))
+        values = cells.groupBy("kind", "value").agg(F.count("*").alias("n"))
+        values = cut(values.join(entries.select("kind", F.col("canonical").alias("value")).distinct(), ["kind", "value"], "left_anti"))
+        hits = None
+        for i in range(parts):
+            listed = [tuple(r) for r in entries.where(F.col("part") == i).select("ref_id", "kind", "canonical").collect()]
+            some = cut(_searched(values, sorted(listed), words, ["kind", "value"], every).where("ref_id >= 0"))
+            hits = some if hits is None else hits.unionByName(some)
+        hit = F.struct("slips", (-F.col("read")).alias("less"), "ref_id", "read")
+        if every:
+            hits = hits.groupBy("kind", "value", "ref_id").agg(F.min(hit).alias("hit"))
+        else:
+            hits = hits.groupBy("kind", "value").agg(F.min(hit).alias("hit"))
+        led = values.join(hits.select("kind", "value", "hit"), ["kind", "value"], "left")
+        led = led.select("kind", "value", "n", F.coalesce("hit.ref_id", F.lit(-1)).alias("ref_id"), F.coalesce("hit.slips", F.lit(0)).alias("slips"))
+        found = salted_join(cells, led, ["kind", "value"], "n", F.col("key"))
+    names = F.array(*[F.lit(f) for f in fields])
+    return found.select(F.col("key").alias(key), names[F.col("field_no")].alias("field_name"), "ref_id", "slips")
+
+
+def canonical_matches(
+    df: DataFrame, key: str, fields: dict[str, str], reference: DataFrame, words: tuple[str, ...] = ("species",)
+) -> DataFrame:
+    """(key, field_name, ref_id): the entry each typed value means, -1 if none.
+
+    fields: kind of entry for each field. reference: ref_id, kind, canonical. Values that are NULL, hold only white
+    space or equal an entry to the letter are left out; every other value of every row gives one row, repeated rows
+    and keys included. Case, white space, punctuation and characters that only look different don't count. For kinds
+    in `words` an author may follow, the first word may be cut to its first letter and two words may be exchanged.
+    Of several entries the one with fewest slips is taken, then that with most letters read, then the smallest id;
+    canonical_entries has them all. A kind without entries gives -1 for all its values. Only key and fields are read;
+    extra columns don't matter. Entries must have ids from 0 on.
+
+    Of a reference list of up to PART_ENTRIES entries a trie is held in every worker; a longer one is searched in as
+    many parts as that takes, over the distinct values. The search is a map over Arrow batches without a shuffle, so hot
+    values and keys have no weight; within a batch each distinct value is searched once.
+    """
+    return _matched(df, key, fields, reference, words, False).drop("slips")
+
+
+def canonical_entries(
+    df: DataFrame, key: str, fields: dict[str, str], reference: DataFrame, words: tuple[str, ...] = ("species",)
+) -> DataFrame:
+    """(key, field_name, ref_id, slips): all entries within their slips of each typed value, one row with -1 if none.
+
+    A value that could mean several entries so shows them; edge cases as in canonical_matches.
+    """
+    return _matched(df, key, fields, reference, words, True)

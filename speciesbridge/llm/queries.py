@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.registry import Registry
 from ..runtime import table
-from .canon import canonical_matches
+from .canon import canonical_entries, canonical_matches
 from .consistent import irregular_values
 from .groups import linked_groups, linking_rows
 from .layout import layout_copies, layout_records
@@ -68,6 +68,12 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return canonical_matches(table(spark, folder, "mapping"), "map_id", fields, table(spark, folder, "canon_names"))
 
 
+@REGISTRY.add("p3_entries")
+def p3_entries(spark: SparkSession, folder: str) -> DataFrame:
+    fields = {"name_x": "species", "name_y": "species", "match_type": "match_type"}
+    return canonical_entries(table(spark, folder, "mapping"), "map_id", fields, table(spark, folder, "canon_names"))
+
+
 @REGISTRY.add("p4_found")
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return irregular_values(table(spark, folder, "mapping"), "map_id", ["name_x", "name_y"]).select("map_id", "field_name")

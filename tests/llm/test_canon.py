@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,12 @@ MEANT = {
 }
 
 
+AUTHORS = {
+    "": True, " - . ": True, " (Wrexling, 1785)   Tavšekin": True, "--wrexling, . 1978": True, ",HALLOWDEN . 1888": True, " - (o’tarrick, 1775)": True, "--Lindqvær .  &  Brönnicke, 1816": True,
+    "o’tarrick, . 1834": True, " L. f. 1753": True, " Smith 1857b": True, " subsp. minor": False, " 1834": False, " Smith 12": False, " Smith 1834 1835": False, " a b c d e f g h i": False, " A 1800 B 1801 C": False,
+}
+
+
 def test_meant_and_not_meant():
     matcher = K.Matcher([(r, t) for r, k, t in ENTRIES if k == "species"], True)
     assert dict(zip(MEANT, matcher.match(pa.array(list(MEANT))).tolist())) == MEANT
@@ -63,10 +70,51 @@ def test_rows(spark, rows):
     assert {r["ref_id"] for r in none.collect()} == {-1}
 
 
-def test_the_reference_list_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(K, "MOST_ENTRIES", 3)
-    with pytest.raises(ValueError):
-        K.canonical_matches(spark.createDataFrame([(1, "a")], "id int, a string"), "id", {"a": "species"}, spark.createDataFrame(ENTRIES, "ref_id bigint, kind string, canonical string"))
+@pytest.mark.parametrize("every", [False, True])
+def test_a_long_list_is_searched_in_parts(spark, rows, monkeypatch, every):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    ref = spark.createDataFrame([(i, "species", f"{word(5).title()} {word(6)}") for i in range(60)] * 2, "ref_id bigint, kind string, canonical string")
+    some = [r["canonical"] for r in ref.limit(20).collect()]
+    df = spark.createDataFrame([(i % 9, rng.choice([*some, word(11), some[0][0] + ". " + some[0][6:]])[: rng.randint(0, 13)], None) for i in range(200)], "id bigint, a string, b string")
+    search = K.canonical_entries if every else K.canonical_matches
+    whole = rows(search(df, "id", {"a": "species", "b": "species"}, ref))
+    monkeypatch.setattr(K, "PART_ENTRIES", 25)
+    monkeypatch.setattr("speciesbridge.runtime.HOT_ROWS", 5)
+    assert rows(search(df, "id", {"a": "species", "b": "species"}, ref)) == whole
+    assert len(whole) > 150
+
+
+def test_all_entries_are_found():
+    matcher = K.Matcher([(1, "Histidra minorbad"), (2, "Holabus minorbad"), (3, "Histidra minorbat"), (4, "Far away")], True)
+    found = matcher.entries_of(pa.array(["H. minorbad", "Histidra minorbad", "nothing"]))
+    assert [(r, s, e) for r, s, _, e in found] == [(0, 0, 1), (0, 0, 2), (0, 1, 3), (1, 0, 1), (1, 1, 3)]
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    entries = [(i, word(rng.randint(3, 8))) for i in range(60)]
+    values = sorted({word(rng.randint(1, 9)) for _ in range(200)})
+    got = K.Matcher(entries, False).entries_of(pa.array(values))
+    want = sorted((i, osa(v, e), -len(v), r) for i, v in enumerate(values) for r, e in entries if osa(v, e) <= K.slips_allowed(len(e)))
+    assert got == want
+
+
+def test_authors_are_read_once():
+    for rest, good in AUTHORS.items():
+        assert K.author_like(rest) == good, rest
+    for tail in (" A" + "b" * 10_000 + " 9y", " Ab" * 10_000, "-" * 10_000 + "9", " A.b" * 5000 + "!"):
+        began = time.perf_counter()
+        K.author_like(tail)
+        assert time.perf_counter() - began < 0.1
+
+
+def test_trie_is_small():
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(n))
+    entries = [(i, f"{word(8).title()} {word(12)}") for i in range(5000)]
+    matcher = K.Matcher(entries, True)
+    assert matcher.trie.nbytes < 2500 * len(entries)
+    assert matcher.match(pa.array([t.upper() for _, t in entries])).tolist() == list(range(5000))
+    assert matcher.match(pa.array([word(21) for _ in range(500)])).tolist() == [-1] * 500
 
 
 def test_states_of_a_large_trie_stay_apart():
