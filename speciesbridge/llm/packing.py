@@ -50,19 +50,22 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, group_items: int
     keys, so the result doesn't depend on partitions.
 
     Items are dealt to groups by a hash of their key, which keeps every group near group_items, and each group is
-    packed on its own; containers are named group-number. Should one key be repeated very often, its rows are
-    dealt over the groups too.
+    packed on its own; containers are named group-number. Repeated rows of one key and size are counted first, and
+    their number is dealt in equal shares over as many groups as there are, or as there are rows.
     """
     ship(items.sparkSession)
     rows = items.select(F.col(f"`{key}`").alias("k"), F.col(f"`{size}`").cast("bigint").alias("n")).where("n > 0")
     groups = max(1, math.ceil(items.count() / group_items))
-    # repeated rows of one key differ only in where they lie; rand spreads them, as they are interchangeable
-    dealt = rows.groupBy("k", "n").agg(F.count("*").alias("times")).withColumn(
-        "copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))
-    ).select(F.pmod(F.xxhash64("k", "copy", F.lit(17)), F.lit(groups)).alias("g"), "k", "n")
+    shares = F.least("times", F.lit(groups).cast("bigint"))
+    share = F.expr("times div shares") + (F.col("share") < F.col("times") % F.col("shares")).cast("bigint")
+    counted = rows.groupBy("k", "n").agg(F.count("*").alias("times")).withColumn("shares", shares)
+    dealt = counted.withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1))).select(
+        F.pmod(F.pmod(F.xxhash64("k", "n", F.lit(17)), F.lit(groups)) + F.col("share"), F.lit(groups)).alias("g"), "k", "n", share.alias("times")
+    )
     kind = items.schema[key].dataType.simpleString()
 
     def fit(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.repeat(np.arange(table.num_rows), np.asarray(table["times"]))))
         table = table.sort_by([("n", "descending"), ("k", "ascending")])
         n = np.asarray(table["n"]).astype(np.int64)
         whole, rest = n // capacity, n % capacity
@@ -90,3 +93,10 @@ def pack_documents(df: DataFrame, key: str, text: str, capacity: int = 1024, nam
     ship(df.sparkSession)
     sized = df.select(F.col(f"`{key}`"), token_counts(F.col(f"`{text}`"), name, folder).alias("_tokens"))
     return pack(sized, key, "_tokens", capacity)
+
+
+def fill(containers: DataFrame, capacity: int) -> DataFrame:
+    """One row (n_containers, n_used, n_least): containers, what they hold, and the fewest that could hold it."""
+    held = F.coalesce(F.sum(F.col("item_end") - F.col("item_start")), F.lit(0))
+    least = F.ceil(held / F.lit(capacity)).cast("bigint")
+    return containers.agg(F.count_distinct("container").alias("n_containers"), held.alias("n_used"), least.alias("n_least"))

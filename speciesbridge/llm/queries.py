@@ -10,7 +10,7 @@ from .canon import canonical_entries, canonical_matches
 from .consistent import irregular_values
 from .groups import linked_groups, linking_rows
 from .layout import layout_copies, layout_records
-from .packing import pack_documents
+from .packing import fill, pack_documents
 from .spans import shared_share, shared_spans
 from .tokens import encode_corpus
 
@@ -99,6 +99,11 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), "doc_id", "text", 1024)
 
 
+@REGISTRY.add("p7_fill")
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return fill(pack_documents(table(spark, folder, "documents"), "doc_id", "text", 1024), 1024)
+
+
 @REGISTRY.add("p8_found", P8)
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return shared_spans(table(spark, folder, "documents"), "doc_id", "text", 200)

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from speciesbridge.llm.packing import first_fit_decreasing, pack
+from speciesbridge.llm.packing import fill, first_fit_decreasing, pack
 
 
 def slow(sizes, capacity):
@@ -65,3 +65,14 @@ def test_repeated_rows_and_empty(spark):
         room[r["container"]] = room.get(r["container"], 0) + r["item_end"] - r["item_start"]
     assert max(room.values()) <= 100
     assert pack(df.limit(0), "k", "n", 100).collect() == []
+
+
+def test_hot_item_is_dealt_over_groups(spark):
+    df = spark.createDataFrame([(7, 30)] * 500 + [(i, 70) for i in range(1000, 1100)], "k bigint, n int")
+    got = pack(df, "k", "n", 100, 50)
+    rows = got.collect()
+    assert sum(r["k"] == 7 for r in rows) == 500 and len(rows) == 600
+    assert len({r["container"].split("-")[0] for r in rows if r["k"] == 7}) == 12
+    one = fill(got, 100).first()
+    assert one["n_used"] == 22_000 and one["n_least"] == 220 <= one["n_containers"] <= 250
+    assert tuple(fill(got.limit(0), 100).first()) == (0, 0, 0)
