@@ -26,7 +26,7 @@ COVERS = {
 #: Code points of the documents that are processed together, on average; a worker holds some 60 bytes for each.
 BATCH_CHARS = 3_000_000
 #: Hashes of a bucket on average, if every position of the cover gives one; a worker holds some 50 bytes for each.
-BUCKET_HASHES = 1_000_000
+BUCKET_HASHES = 600_000
 #: Of code points one in so many is taken to start a span that may be shared; should all do, buckets are as much larger.
 STARTS_SHARE = 4
 #: Buckets that a batch sends to directly, and batches of a block; beyond, messages are sorted in more than one hop.
