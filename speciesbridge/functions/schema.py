@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_TYPES = {"string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "bigint": T.LongType()}
+_TYPES = {"string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "bigint": T.LongType()}
 
 
 def _schema(text: str) -> T.StructType:
@@ -19,8 +19,7 @@ MAPPING = _schema(
     "in_x boolean, in_y boolean, notes string"
 )
 UNUSED = _schema("name_x string, name_y string, reason string")
-OVERRIDES = _schema("name_x string, name_y string, action string, user_note string")
-LOOKUP = _schema("input string, accepted_name string, status string, taxon_id string, authority string")
+OVERRIDES = _schema("name_x string, name_y string, action string, user_note string, timestamp timestamp")
 TREE = _schema("tree_id string, parent bigint, child bigint, edge_length double, label string, is_tip boolean")
 
 # The vocabularies.

@@ -5,14 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.relational import first_rows, one_row
 from ..functions.schema import ACTIONS, COVERED_TYPES, MAPPING, MATCH_TYPES, OVERRIDES, RESOLVED_TYPES, UNUSED, check_mapping, mapping_rows, require
+from ..runtime import cut
 
-#: A batch of hand-made corrections is folded on the driver in its order; it may have so many rows.
-MOST_OVERRIDES = 1_000_000
+# The notes of rows that a reject leaves.
+REJECTED, READDED = "Rejected: ", "Re-added after rejection"
 
 
 @dataclass
@@ -111,103 +112,78 @@ def clean_actions(batch: DataFrame) -> DataFrame:
 
 
 def override_batch(mapping: DataFrame, batch: DataFrame, pos: str, order: list[str] | None = None) -> DataFrame:
-    """The mapping after the batch's corrections (name_x, name_y, action, note), one after the other by pos.
-
-    accept and replace drop all rows of name_x and the y-only unresolved row of name_y and append the pair as manual;
-    reject makes the first row of name_x unresolved and, if its former name_y is nowhere else, appends that as a y-only
-    row. Rows with a NULL name_x do nothing; an accept without name_y or another action is an error. order: columns
-    that say which row of a name is first (default: all, ascending).
-
-    The batch is checked to have at most MOST_OVERRIDES rows and is folded on the driver, with one counted line of the
-    mapping per name that it touches; the mapping itself is only filtered by joins, whatever its size or skew.
+    """The mapping after the batch's corrections (name_x, name_y, action, note), one after the other by pos (unique).
+
+    accept and replace drop all rows of name_x and the unresolved rows of name_y that are not in x, and append the pair as
+    manual; reject makes the first row of name_x unresolved and, if its former name_y is nowhere else, appends that as a
+    y-only row. Rows with a NULL name_x do nothing; an accept without name_y or another action is an error. order: columns
+    that say which row of a name is first (default: all, ascending). An empty batch changes nothing.
+
+    No row is visited one by one. When a row leaves the mapping is known beforehand: at the first accept of its name_x or,
+    if it is open, of its name_y. What a name_x is goes by its own corrections only: each accept begins an episode that
+    ends with the next reject or accept. So the rows that hold a name_y at the time of a reject are a running sum over what
+    comes and goes, and it is added again if that sum is 0 and no accept takes it later. The batch may have any size;
+    corrections of one name, and what comes and goes of one rejected name_y, are sorted in one task, which spills.
     """
     cols = MAPPING.fieldNames()
-    spark = mapping.sparkSession
-    ops = clean_actions(batch).where("name_x is not null").select(F.col(pos).alias("_pos"), "name_x", "name_y", "action", "note")
-    listed = ops.limit(MOST_OVERRIDES + 1).collect()
-    if len(listed) > MOST_OVERRIDES:
-        raise ValueError(f"the batch has more than {MOST_OVERRIDES} rows; accept_pairs takes conflict-free pairs of any number")
-    listed.sort(key=lambda r: r["_pos"])
-    bad = sorted({str(r["action"]) for r in listed if r["action"] not in ACTIONS})
+    ops = clean_actions(batch).where("name_x is not null")
+    ops = cut(ops.select(F.col(pos).alias("pos"), F.col("name_x").alias("x"), F.col("name_y").alias("y"), "action", "note"))
+    bad = ops.where(~F.coalesce(F.col("action").isin(*ACTIONS), F.lit(False))).select("action").distinct().limit(5).collect()
     if bad:
-        raise ValueError(f"actions must be among {ACTIONS}, not {bad}")
-    if any(r["action"] != "reject" and r["name_y"] is None for r in listed):
+        raise ValueError(f"actions must be among {ACTIONS}, not {sorted(str(r['action']) for r in bad)}")
+    if not ops.where("action <> 'reject' and y is null").isEmpty():
         raise ValueError("accept and replace need a name_y")
-    touched_x = ops.select("name_x").distinct()
-    mine = mapping.join(touched_x, "name_x", "left_semi")
-    first = first_rows(mine, ["name_x"], [F.col(c) for c in _order(mapping, order)])
-    held = mine.where("name_y is not null").groupBy("name_x", "name_y").agg(F.count("*").alias("n"))
-    # of a name that is matched to very many others only those count that could come back, i.e. of its first row
-    first_y = {r["name_x"]: r["name_y"] for r in first.select("name_x", "name_y").toLocalIterator()}
-    wanted = spark.createDataFrame([(y,) for y in {y for y in first_y.values() if y} | {r["name_y"] for r in listed if r["name_y"]}] or [], "name_y string")
-    per_pair = {(r["name_x"], r["name_y"]): r["n"] for r in held.join(wanted, "name_y", "left_semi").toLocalIterator()}
-    open_y = F.coalesce((F.col("match_type") == "unresolved") & ~F.col("in_x") & F.col("name_x").isNull(), F.lit(False))
-    totals = mapping.join(wanted, "name_y", "left_semi").groupBy("name_y").agg(F.count("*").alias("n"), F.count_if(open_y).alias("o"))
-    count, only = {}, {}
-    for r in totals.toLocalIterator():
-        count[r["name_y"]], only[r["name_y"]] = r["n"], r["o"]
-    pairs_of: dict[str, list[tuple[str, int]]] = {}
-    for (x, y), n in per_pair.items():
-        pairs_of.setdefault(x, []).append((y, n))
-
-    replaced: set[str] = set()  # x whose original rows are gone
-    consumed: set[str] = set()  # y whose original y-only rows are gone
-    manual: dict[str, tuple[str, str]] = {}  # x -> (y, note)
-    rejected: dict[str, str] = {}  # x -> note of the last rejection of its present first row
-    again: set[str] = set()  # y-only rows that were re-added
-
-    def drop_y(y: str | None, n: int) -> None:
-        if y is not None:
-            count[y] = count.get(y, 0) - n
-
-    for r in listed:
-        x, y, note = r["name_x"], r["name_y"], r["note"]
-        if r["action"] != "reject":
-            if x in manual:
-                if x not in rejected:
-                    drop_y(manual[x][0], 1)
-            elif x not in replaced:
-                gone = first_y.get(x) if x in rejected else None
-                for yy, n in pairs_of.get(x, []):
-                    drop_y(yy, n - (yy == gone))
-            replaced.add(x)
-            rejected.pop(x, None)
-            drop_y(y, (only.get(y, 0) if y not in consumed else 0) + (y in again))
-            consumed.add(y)
-            again.discard(y)
-            manual[x] = (y, note)
-            count[y] = count.get(y, 0) + 1
-        elif x in manual or x in first_y and x not in replaced:
-            old = None if x in rejected else manual[x][0] if x in manual else first_y[x]
-            rejected[x] = note
-            if old is not None:
-                drop_y(old, 1)
-                if count.get(old, 0) <= 0:
-                    again.add(old)
-                    count[old] = 1
-
-    flag = lambda names, col, mark: spark.createDataFrame([(n,) for n in names], "n string").select(F.col("n").alias(col), F.lit(True).alias(mark))
-    kept = mapping.join(flag(replaced, "name_x", "_r").select("name_x"), "name_x", "left_anti")
-    kept = kept.join(flag(consumed, "_y", "_c"), F.col("name_y") == F.col("_y"), "left").where(~(F.coalesce("_c", F.lit(False)) & open_y)).drop("_y", "_c")
-    notes = spark.createDataFrame([(x, n) for x, n in rejected.items() if x not in manual], "name_x string, _note string")
-    changed = first_rows(kept.join(notes, "name_x"), ["name_x"], [F.col(c) for c in _order(mapping, order)])
-    rest = kept.join(notes.select("name_x"), "name_x", "left_anti").select(*cols)
-    others = _all_but_first(kept.join(notes.select("name_x"), "name_x", "left_semi"), _order(mapping, order)).select(*cols)
-    nothing = F.lit(None).cast("string")
-    turned = changed.select(
-        "name_x", nothing.alias("name_y"), "name_resolved", F.lit("unresolved").alias("match_type"), F.lit(None).cast("double").alias("match_score"),
-        nothing.alias("match_source"), "in_x", F.lit(False).alias("in_y"), F.concat(F.lit("Rejected: "), F.coalesce("_note", F.lit("NA"))).alias("notes"),
+    # episodes of a name: number 0 is before its first accept, each accept begins another
+    rejects, by_x = F.col("action") == "reject", Window.partitionBy("x")
+    numbered = ops.withColumn("g", F.count_if(~rejects).over(by_x.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    at = lambda c, is_reject: F.when(rejects if is_reject else ~rejects, F.col(c))
+    episodes = numbered.groupBy("x", "g").agg(
+        F.min(at("pos", False)).alias("begin"), F.max(at("y", False)).alias("y"), F.max(at("note", False)).alias("note"),
+        F.min(at("pos", True)).alias("rejected"), F.max_by("note", at("pos", True)).alias("why"),
     )
-    new = [(x, None, None, "unresolved", None, None, True, False, f"Rejected: {'NA' if rejected[x] is None else rejected[x]}") if x in rejected else (x, y, None, "manual", 1.0, "user_override", True, True, note) for x, (y, note) in manual.items()]
-    new += [(None, y, None, "unresolved", None, None, False, True, "Re-added after rejection") for y in sorted(again)]
-    return rest.unionByName(others).unionByName(turned).unionByName(spark.createDataFrame(new, MAPPING))
-
-
-def _all_but_first(df: DataFrame, order: list[str]) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("name_x").orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn > 1").drop("_rn")
+    episodes = cut(episodes.withColumn("next", F.lead("begin").over(by_x.orderBy("g"))))
+    accepted = episodes.where("g > 0")
+    of_x = episodes.groupBy(F.col("x").alias("_x")).agg(
+        F.min("begin").alias("_gone"), F.max(F.when(F.col("g") == 0, F.col("rejected"))).alias("_rejected"), F.max(F.when(F.col("g") == 0, F.col("why"))).alias("_why")
+    )
+    of_y = accepted.groupBy(F.col("y").alias("_y")).agg(F.min("begin").alias("_taken"), F.max("begin").alias("_last"))
+    open_y = F.coalesce((F.col("match_type") == "unresolved") & ~F.col("in_x"), F.lit(False))
+    by = _order(mapping, order)
+    rows = mapping.select(*cols, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(by)])
+    rows = rows.join(of_x, F.col("name_x") == F.col("_x"), "left").join(of_y.select("_y", "_taken"), (F.col("name_y") == F.col("_y")) & open_y, "left")
+    nothing_happens = F.coalesce("_gone", "_rejected", "_taken").isNull()
+    still = F.col("_taken").isNull() | (F.col("_taken") > F.col("_rejected"))
+    first = F.row_number().over(Window.partitionBy("name_x", F.col("_rejected").isNull()).orderBy(F.desc(F.coalesce(still, F.lit(True))), *[f"_o{i}" for i in range(len(by))]))
+    touched = rows.where(~nothing_happens)
+    rejected = touched.where("_rejected is not null").withColumn("_first", (first == 1) & F.coalesce(still, F.lit(False)))
+    touched = cut(touched.where("_rejected is null").withColumn("_first", F.lit(False)).unionByName(rejected))
+    none = F.lit(None).cast("string")
+    notes = lambda c: F.concat(F.lit(REJECTED), F.coalesce(c, F.lit("NA")))
+    turned = touched.where("_first and _gone is null").select(
+        "name_x", none.alias("name_y"), "name_resolved", F.lit("unresolved").alias("match_type"), F.lit(None).cast("double").alias("match_score"),
+        none.alias("match_source"), "in_x", F.lit(False).alias("in_y"), notes("_why").alias("notes"),
+    )
+    ended = accepted.where("next is null").select(F.col("x").alias("name_x"), F.col("y").alias("name_y"), "note", "rejected", "why")
+    manual = mapping_rows(ended.where("rejected is null"), "manual", 1.0, "user_override", True, True, F.col("note"))
+    undone = mapping_rows(ended.where("rejected is not null").drop("name_y"), "unresolved", None, None, True, False, notes("why"))
+    # what comes and goes of each name_y that a reject sets free
+    event = lambda df, y, pos_, n, free=False: df.select(F.col(y).alias("y"), F.col(pos_).alias("pos"), F.lit(n).alias("n"), F.lit(free).alias("free")).where("y is not null and pos is not null")
+    free = cut(event(touched.where("_first"), "name_y", "_rejected", 0, True).unionByName(event(accepted, "y", "rejected", 0, True)))
+    leaves = touched.withColumn("_at", F.when(F.col("_first"), F.col("_rejected")).otherwise(F.least("_gone", "_taken")))
+    over = accepted.withColumn("end", F.coalesce("rejected", "next"))
+    events = free.unionByName(event(leaves, "name_y", "_at", -1)).unionByName(event(accepted, "y", "begin", 1)).unionByName(event(over, "y", "end", -1))
+    freed = free.select("y").distinct()
+    sums = events.groupBy("y", "pos").agg(F.sum("n").alias("n"), F.bool_or("free").alias("free")).join(freed, "y", "left_semi")
+    held = mapping.select(F.col("name_y").alias("y")).join(freed, "y", "left_semi").groupBy("y").agg(F.count("*").alias("held"))
+    running = sums.withColumn("n", F.sum("n").over(Window.partitionBy("y").orderBy("pos"))).join(held, "y", "left")
+    running = running.join(of_y.select(F.col("_y").alias("y"), "_last"), "y", "left")
+    again = running.where(F.col("free") & (F.coalesce("held", F.lit(0)) + F.col("n") <= 0) & (F.col("_last").isNull() | (F.col("pos") > F.col("_last"))))
+    added = mapping_rows(again.select(F.col("y").alias("name_y")).distinct(), "unresolved", None, None, False, True, READDED)
+    kept = touched.where("not _first and _gone is null and _taken is null").select(*cols)
+    out = rows.where(nothing_happens).select(*cols)
+    for part in (kept, turned, manual, undone, added):
+        out = out.unionByName(part.select(*cols))
+    return out
 
 
 def override(rec: Reconciliation, name_x: str, name_y: str | None = None, action: str = "accept", note: str = "") -> Reconciliation:
@@ -218,8 +194,9 @@ def override(rec: Reconciliation, name_x: str, name_y: str | None = None, action
 
 def apply_batch(rec: Reconciliation, batch: DataFrame, pos: str, order: list[str] | None = None) -> Reconciliation:
     """A reconciliation after a batch of corrections, or of the decisions of a review (rows skipped are no rows)."""
-    log = clean_actions(batch).select("name_x", "name_y", "action", F.col("note").alias("user_note"))
-    meta = rec.meta | {"overridden_at": datetime.now(timezone.utc).isoformat()}
+    now = datetime.now(timezone.utc)
+    log = clean_actions(batch).select("name_x", "name_y", "action", F.col("note").alias("user_note"), F.lit(now).cast("timestamp").alias("timestamp"))
+    meta = rec.meta | {"overridden_at": now.isoformat()}
     return Reconciliation(override_batch(rec.mapping, batch, pos, order), meta, rec.overrides.unionByName(log), rec.unused_overrides)
 
 
@@ -292,3 +269,13 @@ def unresolved_names(mapping: DataFrame, side: str) -> DataFrame:
     """(name): the distinct unresolved names of side x or y."""
     rows = mapping.where(F.col(f"in_{side}") & (F.col("match_type") == "unresolved") & F.col(f"name_{side}").isNotNull())
     return rows.select(F.col(f"name_{side}").alias("name")).distinct()
+
+
+def review_candidates(mapping: DataFrame, kind: str = "flagged") -> DataFrame:
+    """The rows that a review of that kind is about: flagged ones; fuzzy and flagged ones; or all_unresolved, which are the
+    unresolved and flagged rows of names of x. Decisions on them go to apply_batch; suggestions() has near misses."""
+    kinds = {"flagged": ("flagged",), "fuzzy": ("fuzzy", "flagged"), "all_unresolved": ("unresolved", "flagged")}
+    if kind not in kinds:
+        raise ValueError(f"kind must be one of {tuple(kinds)}")
+    rows = mapping.where(F.col("match_type").isin(*kinds[kind]))
+    return rows.where("in_x") if kind == "all_unresolved" else rows
