@@ -55,16 +55,6 @@ def normalise(col: Column, rank: str = "species") -> Column:
     return trim_blanks(standard_case(col))
 
 
-def normalise_sql(expr: str, rank: str = "species") -> str:
-    """The same in DuckDB's SQL."""
-    quote = lambda s: "'" + s.replace("'", "''") + "'"
-    edge = quote(EDGE_BLANKS)
-    expr = f"regexp_replace({expr}, {edge}, '', 'g')"
-    for pattern, by in patterns(rank):
-        expr = f"regexp_replace({expr}, {quote(pattern)}, {quote(by.replace('$', chr(92)))}, 'g')"
-    return f"regexp_replace(list_transform([{expr}], lambda n: upper(substring(n, 1, 1)) || lower(substring(n, 2)))[1], {edge}, '', 'g')"
-
-
 def word(col: Column, n: int) -> Column:
     """The n-th word (from 0), NULL where there is none. A leading blank makes the first word ''."""
     return F.get(F.split(col, r"\s+"), F.lit(n))

@@ -13,7 +13,7 @@ from ..functions.schema import MAPPING, UNUSED, check_authority, mapping_rows
 from ..runtime import cut
 from .fuzzy import best_matches
 from .greedy import greedy_matching
-from .synonyms import synonym_pairs
+from .synonyms import registered, resolve_names, synonym_pairs
 
 
 @dataclass
@@ -22,6 +22,11 @@ class Cascade:
     unused_overrides: DataFrame
 
 
+# The reasons and notes of mapping rows.
+NOT_IN_X, NOT_IN_Y, TAKEN = "name_x_not_in_data", "name_y_not_in_target", "already_matched"
+NO_X, NO_Y = "No match found in source x", "No match found in source y"
+
+
 def _empty(df: DataFrame, schema) -> DataFrame:
     return df.sparkSession.createDataFrame([], schema)
 
@@ -31,19 +36,19 @@ def apply_overrides(xs: DataFrame, ys: DataFrame, overrides: DataFrame, rank: st
 
     An override finds the first name of either side with its normal form and is accepted if neither is taken yet. The
     reasons why one is not used: name_x_not_in_data, then name_y_not_in_target, then already_matched. Empty normal
-    forms, as of NULL or blank names, are in no data.
+    forms, as of NULL or blank names, are in no data. A NULL note stays NULL; without the column it is 'Manual override'.
     """
     first = lambda s, new: first_rows(s.where("norm <> ''"), ["norm"], ["pos", "name"]).select(F.col("norm").alias(f"n{new}"), F.col("name").alias(new))
-    note = F.col("user_note") if "user_note" in overrides.columns else F.lit(None).cast("string")
+    note = F.col("user_note") if "user_note" in overrides.columns else F.lit("Manual override")
     wanted = overrides.select(
-        F.col("pos").alias("i"), F.col("name_x").alias("ox"), F.col("name_y").alias("oy"), F.coalesce(note, F.lit("Manual override")).alias("note"),
+        F.col("pos").alias("i"), F.col("name_x").alias("ox"), F.col("name_y").alias("oy"), note.alias("note"),
         normalise(F.col("name_x"), rank).alias("nx"), normalise(F.col("name_y"), rank).alias("ny"),
     )
     located = cut(wanted.join(first(xs, "x"), "nx", "left").join(first(ys, "y"), "ny", "left"))
     taken = greedy_matching(located)
     used = located.join(taken.select("i"), "i", "left_semi").select(F.col("x").alias("name_x"), F.col("y").alias("name_y"), "note")
     manual = mapping_rows(used, "manual", 1.0, "user_override", True, True, F.col("note"))
-    reason = F.when(F.col("x").isNull(), "name_x_not_in_data").when(F.col("y").isNull(), "name_y_not_in_target").otherwise("already_matched")
+    reason = F.when(F.col("x").isNull(), NOT_IN_X).when(F.col("y").isNull(), NOT_IN_Y).otherwise(TAKEN)
     unused = located.join(taken.select("i"), "i", "left_anti").select(F.col("ox").alias("name_x"), F.col("oy").alias("name_y"), reason.alias("reason"))
     return manual, unused
 
@@ -64,14 +69,15 @@ def cascade(
 ) -> Cascade:
     """Match two tables of distinct names (name, pos) one to one, pos giving the order in which ties are decided.
 
-    lookup: answers of an authority (input, accepted_name) for normal forms; without it, or with authority None, there
-    is no synonym stage. NULL names are left out; names whose normal form is empty match exactly or not at all. With
+    authority: whose synonyms are followed, None for none. lookup: its answers (input, accepted_name) for normal forms;
+    without it they come from the table registered for the authority, and it is an error if there is none. NULL names are left out; names whose normal form is empty match exactly or not at all. With
     multi_x several x may share a y in the normalised stage. Empty sides give only unresolved rows. Stages are cut
     where later ones read them twice; leftovers only ever shrink.
     """
     if resolve not in ("flag", "first"):
         raise ValueError("resolve must be flag or first")
     authority = check_authority(authority)
+    taxa = registered(x.sparkSession, authority) if authority is not None and lookup is None else None
     side = lambda df: cut(df.where("name is not null").select("name", "pos", normalise(F.col("name"), rank).alias("norm")))
     xs, ys = side(x), side(y)
     unused = _empty(x, UNUSED)
@@ -93,9 +99,12 @@ def cascade(
     if not multi_x:
         normal = first_rows(normal, ["name_y"], ["pos", "name_x"])
     take(cut(mapping_rows(normal, "normalized", 1.0, "normalisation", True, True, F.format_string("'%s' normalised to '%s'", "name_x", "norm"))))
-    if authority is not None and lookup is not None:
+    if authority is not None:
         first = lambda df: first_rows(df.where("norm <> ''"), ["norm"], ["pos", "name"])
         fx, fy = cut(first(left_x)), cut(first(left_y))
+        if lookup is None:
+            asked = fx.select(F.col("norm").alias("name")).unionByName(fy.select(F.col("norm").alias("name")))
+            lookup = cut(resolve_names(asked, taxa, authority))
         pairs = synonym_pairs(fx.select("norm", "pos"), fy.select("norm", "pos"), lookup)
         # of all pairs only those of the first strategy can share a name, a y, and there the earliest x wins
         pairs = first_rows(pairs, ["norm_y"], ["strategy", "pos_x", "norm_x"])
@@ -114,8 +123,8 @@ def cascade(
         found = first_rows(best_matches(left_x, left_y, fuzzy_threshold, rank), ["name_y"], ["pos_x", "name_x"])
         weak = F.when((F.col("score") < flag_threshold) & F.lit(resolve == "flag"), "flagged").otherwise("fuzzy")
         take(cut(mapping_rows(found, weak, F.col("score"), "fuzzy_match", True, True, F.col("notes"))))
-    stages.append(mapping_rows(left_x.select(F.col("name").alias("name_x")), "unresolved", None, None, True, False, "No match found in source y"))
-    stages.append(mapping_rows(left_y.select(F.col("name").alias("name_y")), "unresolved", None, None, False, True, "No match found in source x"))
+    stages.append(mapping_rows(left_x.select(F.col("name").alias("name_x")), "unresolved", None, None, True, False, NO_Y))
+    stages.append(mapping_rows(left_y.select(F.col("name").alias("name_y")), "unresolved", None, None, False, True, NO_X))
     mapping = stages[0]
     for s in stages[1:]:
         mapping = mapping.unionByName(s)

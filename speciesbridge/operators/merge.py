@@ -5,34 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.relational import first_rows
+from ..functions.relational import first_rows, one_row
 from ..functions.schema import MAPPING, check_mapping, require
+from ..sources.ingest import species_column
+
+
+def _keyed(mapping: DataFrame, data_x: DataFrame, data_y: DataFrame, species: tuple[str | None, str | None], suffix: tuple[str, str], order: list[str] | None) -> list[DataFrame]:
+    """Both tables with `_key`, the resolved name of their species, columns of both with their suffixes."""
+    check_mapping(mapping)
+    rows = mapping.where("in_x and in_y").withColumn("_key", F.coalesce("name_resolved", "name_y"))
+    by = [F.col(c) for c in order or MAPPING.fieldNames()]
+    common = set(data_x.columns) & set(data_y.columns)
+    out = []
+    for df, column, name, s, what in ((data_x, species[0], "name_x", suffix[0], "data_x"), (data_y, species[1], "name_y", suffix[1], "data_y")):
+        column = column or species_column(df)
+        require(df, [column], what)
+        keys = first_rows(rows.where(F.col(name).isNotNull()), [name], by).select(F.col(name).alias("_species"), "_key")
+        named = df.select(F.col(f"`{column}`").cast("string").alias("_species"), *[F.col(f"`{c}`").alias(c + s if c in common else c) for c in df.columns])
+        out.append(named.join(keys, "_species", "left").drop("_species"))
+    return out
 
 
 def merge(
-    mapping: DataFrame, data_x: DataFrame, data_y: DataFrame, species_x: str, species_y: str,
+    mapping: DataFrame, data_x: DataFrame, data_y: DataFrame, species_x: str | None = None, species_y: str | None = None,
     how: str = "inner", suffix: tuple[str, str] = ("_x", "_y"), drop_unresolved: bool = False, order: list[str] | None = None,
 ) -> DataFrame:
     """data_x and data_y joined on the resolved name of their species; species_resolved is the first column.
 
     Matched rows of the mapping, flagged ones among them, give name_x and name_y the key name_resolved, else name_y;
-    of several rows of a name the first by `order` counts (default: all columns). how: inner, left or full. Rows
-    without a key meet nothing and stay, with NULL, on the sides that how keeps, unless drop_unresolved. Columns that
-    both tables have get the suffixes on both sides. Species that occur repeatedly multiply, as in any join; skewed
-    ones are split by adaptive execution. Empty tables are as in SQL.
+    of several rows of a name the first by `order` counts (default: all columns). Species columns are found if not named.
+    how: inner, left or full. Rows without a key meet nothing and stay, with NULL, on the sides that how keeps, unless
+    drop_unresolved. Columns that both tables have get the suffixes on both sides. Species that occur repeatedly multiply,
+    as in any join, which merge_duplicates counts beforehand; skewed ones are split by adaptive execution. Empty tables are
+    as in SQL.
     """
     if how not in ("inner", "left", "full"):
         raise ValueError("how must be inner, left or full")
-    check_mapping(mapping)
-    require(data_x, [species_x], "data_x")
-    require(data_y, [species_y], "data_y")
-    rows = mapping.where("in_x and in_y").withColumn("_key", F.coalesce("name_resolved", "name_y"))
-    by = [F.col(c) for c in order or MAPPING.fieldNames()]
-    key = lambda c, new: first_rows(rows.where(F.col(c).isNotNull()), [c], by).select(F.col(c).alias(new), "_key")
-    common = set(data_x.columns) & set(data_y.columns)
-    side = lambda df, s, species, keys: df.select(F.col(f"`{species}`").cast("string").alias("_species"), *[F.col(f"`{c}`").alias(c + s if c in common else c) for c in df.columns]).join(keys, "_species", "left").drop("_species")
-    x = side(data_x, suffix[0], species_x, key("name_x", "_species"))
-    y = side(data_y, suffix[1], species_y, key("name_y", "_species"))
+    x, y = _keyed(mapping, data_x, data_y, (species_x, species_y), suffix, order)
     if how != "full":
         y = y.where("_key is not null")
     out = x.join(y, "_key", how)
@@ -41,6 +50,13 @@ def merge(
     return out.select(F.col("_key").alias("species_resolved"), *[F.col(f"`{c}`") for c in out.columns if c != "_key"])
 
 
+def merge_duplicates(mapping: DataFrame, data_x: DataFrame, data_y: DataFrame, species_x: str | None = None, species_y: str | None = None, order: list[str] | None = None) -> DataFrame:
+    """One row (n_dup_x, n_dup_y): rows of each table beyond the first of their resolved name, which a merge multiplies."""
+    x, y = _keyed(mapping, data_x, data_y, (species_x, species_y), ("_x", "_y"), order)
+    beyond = lambda df, name: df.where("_key is not null").groupBy("_key").agg((F.count("*") - 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias(name))
+    return one_row(beyond(x, "n_dup_x"), beyond(y, "n_dup_y"))
+
+
 def apply_to_data(mapping: DataFrame, data: DataFrame, species: str, drop_unresolved: bool = False) -> DataFrame:
     """The data, with drop_unresolved only the rows whose species is, letter by letter, a matched name_x."""
     require(data, [species], "the data")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
@@ -15,7 +16,7 @@ from ..sources.ingest import check_not_empty, read_overrides, species_column, sp
 from .cascade import cascade
 from .fuzzy import similar_names
 from .mapping import Reconciliation
-from .trees import tips, validate
+from .trees import graft, tips, validate, wanted_by_all
 
 
 def tip_names(edges: DataFrame) -> DataFrame:
@@ -120,3 +121,28 @@ def reconcile_multi(datasets: dict[str, DataFrame], edges: DataFrame, species: s
     wide = rec.mapping.join(marks, "name_x", "left").fillna(False, [f"in_{k}" for k in datasets])
     rec.mapping = wide.select(*MAPPING.fieldNames(), *[f"in_{k}" for k in datasets])
     return rec
+
+
+@dataclass
+class Augmented:
+    tree: DataFrame
+    original: DataFrame
+    augmented: DataFrame
+    skipped: DataFrame
+    meta: dict
+
+
+def reconcile_augment(rec: Reconciliation, edges: DataFrame, where: str = "genus", branch_length: str = "congener_median", order: str | None = None) -> Augmented:
+    """The trees with the names of x that the reconciliation left unresolved grafted beside their congeners.
+
+    order: a column of the mapping that says which name comes first (default: the names themselves). Without unresolved
+    names the trees stay as they are. A name that occurs in several rows is grafted once on each tree that lacks it.
+    """
+    validate(edges)
+    open_x = rec.mapping.where("match_type = 'unresolved' and in_x and not in_y and name_x is not null")
+    named = open_x.groupBy(F.col("name_x").alias("name")).agg(F.min(F.col(order) if order else F.col("name_x")).alias("pos"))
+    wanted, skipped = wanted_by_all(edges, cut(named))
+    tree, augmented, _ = graft(edges, wanted, branch_length, where)
+    meta = {"n_augmented": augmented.count(), "n_skipped": skipped.count(), "where": where, "branch_length_method": branch_length, "source": "internal"}
+    meta |= {"original_n_tips": tips(edges).count(), "augmented_n_tips": tips(tree).count()}
+    return Augmented(tree, edges, augmented, skipped, meta)

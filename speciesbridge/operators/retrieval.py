@@ -5,6 +5,7 @@ There is no network here: a provider is anything with the protocol below, such a
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -13,8 +14,24 @@ from pyspark.sql import functions as F
 
 from ..functions.names import normalise, placement_marker
 from ..functions.relational import first_rows
+from ..functions.schema import require
+from ..runtime import cut
+from ..sources.cache import TreeCache
+from ..sources.ingest import check_not_empty, species_column
 from ..sources.treefiles import first_tree
-from .trees import grafen, resolve_polytomies, tips, unit_lengths
+from .mapping import Reconciliation
+from .trees import grafen, resolve_polytomies, tip_set_gaps, tips, ultrametric, unit_lengths
+
+
+# The tree services in the order in which they are tried, whether they need a network, where they are had,
+# and what is cited for them.
+BACKENDS = {
+    "rotl": (True, "CRAN", "Hinchliff et al. (2015) Synthesis of phylogeny and taxonomy into a comprehensive tree of life. PNAS 112:12764-12769. doi:10.1073/pnas.1423041112"),
+    "rtrees": (False, "CRAN", "Li, D. (2023). rtrees: an R package to assemble phylogenetic trees from megatrees. Ecography, 2023, e06643. doi:10.1111/ecog.06643"),
+    "clootl": (False, "CRAN", "Miller, E. T. (2023). clootl: Clements taxonomy phylogenies."),
+    "fishtree": (True, "CRAN", "Rabosky et al. (2018). An inverse latitudinal gradient in speciation rate for marine fishes. Nature, 559(7714), 392-395. doi:10.1038/s41586-018-0273-1"),
+    "datelife": (False, "github", "Sanchez Reyes, L. L., McTavish, E. J., & O'Meara, B. (2024). DateLife. Systematic Biology, 73(2), 470-485. doi:10.1093/sysbio/syae015"),
+}
 
 
 class TreeProvider(Protocol):
@@ -51,6 +68,15 @@ class TreeResult:
     def matched(self) -> DataFrame:
         return self.mapping.where("in_tree").select("input_name")
 
+    @property
+    def dropped(self) -> DataFrame:
+        """(tree_id, label): tips of the sample that a tree lacks, none where all trees have the same."""
+        t = tips(self.edges).where("label is not null").select("tree_id", "label").distinct()
+        n = t.select("tree_id").distinct().agg(F.count("*").alias("trees"))
+        held = t.groupBy("label").agg(F.count("*").alias("n"))
+        some = held.join(n, held["n"] < n["trees"]).select("label")
+        return t.select("tree_id").distinct().join(some).join(t, ["tree_id", "label"], "left_anti")
+
     @property
     def unmatched(self) -> DataFrame:
         return self.mapping.where("not in_tree").select("input_name")
@@ -77,24 +103,32 @@ def resolve_query(species: DataFrame, replacements: DataFrame | None = None, ran
     )
 
 
-def tree_mapping(query: DataFrame, edges: DataFrame, rank: str = "species") -> DataFrame:
+def tree_mapping(query: DataFrame, edges: DataFrame, rank: str = "species", placement: DataFrame | None = None) -> DataFrame:
     """The mapping of asked names to the tips of the first tree, by normal form, with match type and placement.
 
-    Asterisks that mark grafted tips don't count in names and give placement_status. Of several tips of one normal form
-    the first by node counts.
+    Asterisks that mark grafted tips don't count in names. Of several tips of one normal form the first by node counts.
+    placement: what a grafting service says of the names (input_name, and tree_name, placement_status or both); it comes
+    before what was found, the first of several by tree_name; without it placement_status is NULL.
     """
     t = tips(first_tree(edges)).where("label is not null")
-    clean, placed = placement_marker(F.col("label"))
-    named = t.select(F.col("label").alias("tree_name"), normalise(clean, rank).alias("_norm"), placed.alias("placement_status"), "child").where("_norm <> ''")
+    clean, _ = placement_marker(F.col("label"))
+    named = t.select(F.col("label").alias("tree_name"), normalise(clean, rank).alias("_norm"), "child").where("_norm <> ''")
     by_norm = first_rows(named, ["_norm"], ["child"]).drop("child")
     found = query.withColumn("_norm", normalise(F.col("query_name"), rank)).join(by_norm, "_norm", "left")
+    found = found.withColumn("placement_status", F.lit(None).cast("string"))
+    if placement is not None:
+        said = [c for c in ("tree_name", "placement_status") if c in placement.columns]
+        first = first_rows(placement.where("input_name is not null"), ["input_name"], said).select("input_name", *[F.col(c).alias(f"_{c}") for c in said], F.lit(True).alias("_said"))
+        found = found.join(first, "input_name", "left")
+        for c in said:
+            found = found.withColumn(c, F.when(F.col("_said"), F.col(f"_{c}")).otherwise(F.col(c)))
     kind = (
         F.when(F.col("tree_name").isNull(), "unmatched").when(F.col("query_name") != F.col("normalized_name"), "tnrs")
         .when(F.col("normalized_name") != F.col("input_name"), "normalized").otherwise("exact")
     )
     return found.select(
         "input_name", "normalized_name", "query_name", "tree_name", F.col("tree_name").isNotNull().alias("in_tree"), kind.alias("match_type"),
-        F.coalesce("placement_status", F.lit("unmatched")).alias("placement_status"),
+        "placement_status",
         "tnrs_number_matches", "tnrs_is_synonym", "tnrs_approximate_match", "tnrs_flags",
     )
 
@@ -104,21 +138,65 @@ def provenance(edges: DataFrame, citation: str, calibration: str) -> DataFrame:
     return tips(edges).groupBy("tree_id").agg(F.count("*").alias("n_tips")).select("tree_id", F.lit(citation).alias("citation"), F.lit(calibration).alias("calibration_method"), "n_tips")
 
 
-def get_tree(species: DataFrame, provider: TreeProvider, n_tree: int = 1, replacements: DataFrame | None = None, binary: bool = False, branch_lengths: str | None = None) -> TreeResult:
-    """A provider's trees for the names of species (name), with the account of what they hold."""
+def asked_species(x: DataFrame | Reconciliation, species_col: str | None = None) -> DataFrame:
+    """(name) asked for: the names of y of a reconciliation, or the species of a table; NULL and repeated ones once less."""
+    if isinstance(x, Reconciliation):
+        names = x.mapping.select(F.col("name_y").alias("name"))
+    else:
+        column = species_col or ("name" if "name" in x.columns else species_column(x))
+        require(x, [column], "the table of species")
+        names = x.select(F.col(f"`{column}`").cast("string").alias("name"))
+    return names.where("name is not null").distinct()
+
+
+def get_tree(
+    x: DataFrame | Reconciliation, provider: TreeProvider, n_tree: int = 1, replacements: DataFrame | None = None, binary: bool = False,
+    branch_lengths: str | None = None, species_col: str | None = None, tnrs: str = "auto", cache: TreeCache | None = None,
+    check_ultrametric: bool = True, placement: DataFrame | None = None,
+) -> TreeResult:
+    """A provider's trees for some species, with the account of what they hold.
+
+    x: a table with a species column (name, or species_col, or found) or a reconciliation, whose names of y are asked.
+    tnrs: whether a name service's answers (replacements) are used: auto if they are given, always (an error without
+    them) or never. cache: where fetched trees are kept by what was asked for. Trees that aren't ultrametric are warned
+    of. meta has the counts, whether all trees have the same tips, and the citation; `dropped` the tips that trees lack.
+    No names at all are an error; so is an account that doesn't add up.
+    """
     if n_tree < 1:
         raise ValueError("n_tree must be at least 1")
     if branch_lengths not in (None, "grafen", "compute.brlen", "unit"):
         raise ValueError("branch_lengths must be grafen, compute.brlen, unit or None")
-    query = resolve_query(species, replacements)
-    edges = provider.fetch(query.select("query_name"), n_tree)
+    if tnrs not in ("auto", "always", "never"):
+        raise ValueError("tnrs must be auto, always or never")
+    if tnrs == "always" and replacements is None:
+        raise ValueError("tnrs='always' needs the answers of a name service")
+    species = check_not_empty(asked_species(x, species_col), "the query")
+    query = cut(resolve_query(species, None if tnrs == "never" else replacements))
+    key = None if cache is None else cache.key(query.select(F.concat_ws("\x00", "input_name", "query_name")), provider.name, n_tree=n_tree, tnrs=tnrs)
+    edges = None if cache is None else cache.get(provider.name, key)
+    cached = edges is not None
+    if not cached:
+        edges = provider.fetch(query.select("query_name"), n_tree)
+        if cache is not None:
+            cache.put(provider.name, key, edges)
+            edges = cache.get(provider.name, key)
     if binary:
         edges = resolve_polytomies(edges)
     if branch_lengths:
         edges = unit_lengths(edges) if branch_lengths == "unit" else grafen(edges)
-    mapping = tree_mapping(query, edges)
-    n = mapping.agg(F.count("*").alias("n"), F.count_if("in_tree").alias("m")).first()
-    meta = {"n_queried": n["n"], "n_matched": n["m"], "n_requested": n_tree, "citation": provider.citation, "calibration": provider.calibration}
+    mapping = tree_mapping(query, edges, placement=placement)
+    n = mapping.agg(F.count("*").alias("n"), F.count_distinct("input_name").alias("names"), F.count_if("in_tree").alias("m"), F.count_if(F.col("in_tree") != F.col("tree_name").isNotNull()).alias("odd")).first()
+    if n["n"] != n["names"] or n["n"] != query.count() or n["m"] > n["n"] or n["odd"] and placement is None:
+        raise RuntimeError(f"the account of {provider.name} doesn't add up: {n.asDict()}")
+    gaps = tip_set_gaps(edges).agg(F.count("*").alias("trees"), F.coalesce(F.max("n_missing"), F.lit(0)).alias("missing")).first()
+    if check_ultrametric:
+        uneven = ultrametric(edges).where("not is_ultrametric").count()
+        if uneven:
+            warnings.warn(f"{uneven} of {gaps['trees']} trees from {provider.name} are not ultrametric", stacklevel=2)
+    meta = {
+        "n_queried": n["n"], "n_matched": n["m"], "n_requested": n_tree, "n_returned": gaps["trees"], "tip_set_consistent": gaps["missing"] == 0,
+        "cached": cached, "citation": provider.citation, "calibration": provider.calibration,
+    }
     return TreeResult(edges, mapping, provider.name, meta)
 
 
@@ -147,7 +225,23 @@ def get_tree_auto(species: DataFrame, providers: list[TreeProvider], min_match:
 
 
 def provider_status(providers: list[TreeProvider]) -> list[dict]:
-    return [{"source": p.name, "installed": True, "needs_network": getattr(p, "needs_network", False), "citation": p.citation} for p in providers]
+    """Per provider: source, installed, version, needs_network, reachable, install_hint, source_repo and citation.
+
+    A provider says itself, by attributes of these names, what differs from a table at hand; reachable is None where no
+    network is needed or nothing was asked.
+    """
+    said = {"installed": True, "version": None, "needs_network": False, "reachable": None, "install_hint": None, "source_repo": None}
+    return [{"source": p.name} | {k: getattr(p, k, v) for k, v in said.items()} | {"citation": p.citation} for p in providers]
+
+
+def backend(name: str, edges: DataFrame) -> TableProvider:
+    """One of the known tree services as a provider over a table of its trees, with what is to be cited for it."""
+    if name not in BACKENDS:
+        raise ValueError(f"the services are {tuple(BACKENDS)}, not {name!r}")
+    network, repo, citation = BACKENDS[name]
+    out = TableProvider(name, edges, citation)
+    out.needs_network, out.source_repo = network, repo
+    return out
 
 
 def cite(result: TreeResult, form: str = "text") -> str:

@@ -2,13 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.relational import first_rows, without
+from ..functions.schema import check_authority, require
 from ..runtime import cut
 
 
+_registered: dict[tuple[str, str], DataFrame] = {}
+
+
+def register_authority(code: str, taxa: DataFrame) -> None:
+    """Make a table of taxa (Darwin Core columns, see resolve_names) what an authority's code stands for in its session."""
+    code = check_authority(code)
+    require(taxa, ["scientificName", "taxonID", "acceptedNameUsageID", "taxonomicStatus", "ord"], f"the table of {code}")
+    _registered[taxa.sparkSession.sparkContext.applicationId, code] = taxa
+
+
+def registered(spark: SparkSession, code: str) -> DataFrame:
+    """The table of an authority, an error if none was registered: a synonym stage is never left out unsaid."""
+    taxa = _registered.get((spark.sparkContext.applicationId, code))
+    if taxa is None:
+        raise ValueError(f"no table is registered for the authority {code!r}: register_authority(), give a lookup, or set authority=None")
+    return taxa
+
+
 def resolve_names(inputs: DataFrame, taxa: DataFrame, authority: str) -> DataFrame:
     """(input, accepted_name, status, taxon_id, authority) of each input name.
 

@@ -448,7 +448,7 @@ def graft(
                     anc, anc_depth = parent, at
             length = target - at if level and at is not None and target is not None else bl
             if lengths:
-                insort(known, length)
+                insort(known, bl)  # levelling comes after all grafting and doesn't count in medians
             tips_.append({"label": r.label.replace(" ", "_"), "parent": parent, "child": tip_id, "len": length if lengths else None, "bl": bl, "depth": None if at is None else at + length, "old": False, "n": n, "near": near, "species": r.label})
         tree, g = pdf["tree_id"].iloc[0], pdf["genus"].iloc[0]
         for t in tips_:

@@ -78,13 +78,13 @@ POLY = POLY.replace("count(*) OVER w AS k, row_number() OVER (w ORDER BY child)
 _add("resolve_polytomies", POLY, lambda s, f: T.resolve_polytomies(_edges(s, f)))
 
 COV = W + """, whole AS (SELECT tree_id FROM tree_edges GROUP BY 1 HAVING count(*) = count(edge_length)),
-p AS (SELECT ta.tree_id, ta.label, ancestor, edge_length FROM ta JOIN whole USING (tree_id) JOIN tree_edges e ON ta.tree_id = e.tree_id AND ta.ancestor = e.child),
+p AS MATERIALIZED (SELECT ta.tree_id, ta.label, ancestor, edge_length FROM ta JOIN whole USING (tree_id) JOIN tree_edges e ON ta.tree_id = e.tree_id AND ta.ancestor = e.child),
 t AS (SELECT tip.tree_id, label FROM tip JOIN whole USING (tree_id)),
-s AS (SELECT a.tree_id, a.label AS i, b.label AS j, sum(a.edge_length) AS v FROM p a JOIN p b ON a.tree_id = b.tree_id AND a.ancestor = b.ancestor AND a.label <= b.label GROUP BY 1, 2, 3),
-c AS (SELECT a.tree_id, a.label AS tip_i, b.label AS tip_j, coalesce(v, 0) AS value FROM t a JOIN t b ON a.tree_id = b.tree_id AND a.label <= b.label LEFT JOIN s ON s.tree_id = a.tree_id AND i = a.label AND j = b.label)
+s AS MATERIALIZED (SELECT a.tree_id, a.label AS i, b.label AS j, sum(a.edge_length) AS v FROM p a JOIN p b ON a.tree_id = b.tree_id AND a.ancestor = b.ancestor AND a.label <= b.label GROUP BY 1, 2, 3),
+c AS MATERIALIZED (SELECT a.tree_id, a.label AS tip_i, b.label AS tip_j, coalesce(v, 0) AS value FROM t a JOIN t b ON a.tree_id = b.tree_id AND a.label <= b.label LEFT JOIN s ON s.tree_id = a.tree_id AND i = a.label AND j = b.label)
 """
 _add("phylo_cov", COV + "SELECT tree_id, tip_i, tip_j, round(value, 6) AS value FROM c", lambda s, f: T.phylo_covariance(_edges(s, f)).withColumn("value", F.round("value", 6)))
-_add("phylo_cor", COV + """, d AS (SELECT tree_id, tip_i AS tip, value AS d FROM c WHERE tip_i = tip_j)
+_add("phylo_cor", COV + """, d AS MATERIALIZED (SELECT tree_id, tip_i AS tip, value AS d FROM c WHERE tip_i = tip_j)
 SELECT c.tree_id, tip_i, tip_j, round(value / nullif(sqrt(a.d * b.d), 0), 6) AS value FROM c JOIN d a ON a.tree_id = c.tree_id AND a.tip = tip_i JOIN d b ON b.tree_id = c.tree_id AND b.tip = tip_j""",
      lambda s, f: T.phylo_covariance(_edges(s, f), True).withColumn("value", F.round("value", 6)))
 
@@ -181,7 +181,7 @@ _add("tnrs_audit", QUERY + "SELECT * FROM r", _query)
 _add("tree_mapping", QUERY + f""", t AS (SELECT label, child, {NORM('label')} AS norm FROM tree_edges WHERE is_tip AND label IS NOT NULL AND tree_id = (SELECT min(tree_id) FROM tree_edges)),
 f AS {first('t', 'norm', 'child', "norm <> ''")}
 SELECT input_name, normalized_name, query_name, f.label AS tree_name, f.label IS NOT NULL AS in_tree, CASE WHEN f.label IS NULL THEN 'unmatched' WHEN query_name <> normalized_name THEN 'tnrs' WHEN normalized_name <> input_name THEN 'normalized' ELSE 'exact' END AS match_type,
-CASE WHEN f.label IS NULL THEN 'unmatched' ELSE 'exact' END AS placement_status, tnrs_number_matches, tnrs_is_synonym, tnrs_approximate_match, tnrs_flags FROM r LEFT JOIN f ON {NORM('query_name')} = f.norm""",
+NULL::VARCHAR AS placement_status, tnrs_number_matches, tnrs_is_synonym, tnrs_approximate_match, tnrs_flags FROM r LEFT JOIN f ON {NORM('query_name')} = f.norm""",
      lambda s, f: R.tree_mapping(_query(s, f), _edges(s, f)))
 _add("tree_provenance", "SELECT tree_id, 'test trees' AS citation, 'none' AS calibration_method, count(*) AS n_tips FROM tree_edges WHERE is_tip GROUP BY 1", lambda s, f: R.provenance(_edges(s, f), "test trees", "none"))
 _add("newick_text", None, lambda s, f: to_newick(_edges(s, f)))

@@ -66,7 +66,7 @@ def _picked(spark: SparkSession, folder: str) -> tuple[str, str]:
     return x, m.where("match_type = 'unresolved' and not in_x and name_x is null").agg(F.max("name_y")).first()[0]
 
 
-@REGISTRY.add("override_accept", f"""SELECT {COLS} FROM mapping WHERE name_x IS DISTINCT FROM {PICK[0]} AND NOT coalesce(name_x IS NULL AND name_y = {PICK[1]} AND match_type = 'unresolved' AND NOT in_x, false)
+@REGISTRY.add("override_accept", f"""SELECT {COLS} FROM mapping WHERE name_x IS DISTINCT FROM {PICK[0]} AND NOT coalesce(name_y = {PICK[1]} AND match_type = 'unresolved' AND NOT in_x, false)
 UNION ALL SELECT {PICK[0]}, {PICK[1]}, NULL, 'manual', 1.0, 'user_override', true, true, 'reviewed'""")
 def override_accept(spark: SparkSession, folder: str) -> DataFrame:
     x, y = _picked(spark, folder)
@@ -132,8 +132,8 @@ def crosswalk_kinds_query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _open(s: str) -> str:
-    names = f"(SELECT name, {NORM('name')} AS norm FROM (SELECT DISTINCT name_{s} AS name FROM mapping WHERE match_type = 'unresolved' AND in_{s} AND name_{s} IS NOT NULL))"
-    return first(names, "norm", "name", "norm <> ''")
+    names = f"(SELECT name, pos, {NORM('name')} AS norm FROM (SELECT name_{s} AS name, min(map_id) AS pos FROM mapping WHERE match_type = 'unresolved' AND in_{s} AND name_{s} IS NOT NULL GROUP BY 1))"
+    return first(names, "norm", "pos, name", "norm <> ''")
 
 
 SUPPLEMENT = f"""WITH o AS ({CROSSWALK} AND {ONE}),
@@ -143,7 +143,7 @@ p AS MATERIALIZED (SELECT name_x, name_y, note FROM (SELECT *, count(*) OVER (PA
 
 
 def _supplement(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return crosswalk_supplement(_mapping(spark, folder), crosswalk_one_to_one(spark, folder))
+    return crosswalk_supplement(_mapping(spark, folder), crosswalk_one_to_one(spark, folder), order="map_id")
 
 
 @REGISTRY.add("crosswalk_supplement", SUPPLEMENT + f"""SELECT {COLS} FROM mapping m WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.name_x = m.name_x)

@@ -122,7 +122,7 @@ def suggest_topn(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _tree_set_sql() -> str:
-    left = lambda s, *stages: f"(SELECT * FROM {s} WHERE " + " AND ".join(["true"] + [f"(tree_id, name) NOT IN (SELECT (tree_id, name_{s[0]}) FROM {t})" for t in stages]) + ")"
+    left = lambda s, *stages: f"(SELECT * FROM {s} WHERE " + " AND ".join(["true"] + [f"NOT EXISTS (SELECT 1 FROM {t} WHERE {t}.tree_id = {s}.tree_id AND {t}.name_{s[0]} = {s}.name)" for t in stages]) + ")"
     return f"""WITH {S.side('nx', *SPECIES)},
 ys AS MATERIALIZED (SELECT tree_id, label AS name, min(child) AS pos, {S.NORM('label')} AS norm FROM tree_edges WHERE is_tip AND label IS NOT NULL GROUP BY 1, 2),
 xs AS MATERIALIZED (SELECT t.tree_id, nx.* FROM nx, (SELECT DISTINCT tree_id FROM ys) t),

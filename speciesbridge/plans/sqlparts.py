@@ -2,9 +2,35 @@
 
 from __future__ import annotations
 
-from ..functions.names import normalise_sql
+RANK_WORDS = ("subsp", "ssp", "var", "f")
+
+
+def NORM(expr: str, rank: str = "species") -> str:  # noqa: N802
+    """A name's normal form, written out here apart from the operator's patterns. Blanks are single after the second step."""
+    whole = f"regexp_replace(replace(trim({expr}, chr(32) || chr(9) || chr(10) || chr(13)), '_', ' '), '[\\t\\n\\x0B\\f\\r ]+', ' ', 'g')"
+
+    def drop(e: str, tail: str) -> str:
+        return f"regexp_replace({e}, '{tail}', '')"
+
+    def keep(e: str, head: str, tail: str) -> str:
+        return f"regexp_replace({e}, '^({head}){tail}$', '\\1')"
+
+    author = r"\p{Lu}[\p{L}.]*"
+    e = drop(whole, " ott[0-9]+$")
+    e = drop(e, r" ?\(\p{Lu}[\p{L}.& ]*,? ?[0-9]{4}\) ?$")
+    e = keep(e, "[^ ]+ [^ ]+(?: [^ ]+)?", f" {author}(?: ?(?:&|and) ?{author})*(?: ?, ?| )[0-9]{{4}} ?")
+    e = keep(e, "[^ ]+ [^ ]+", r" \p{Lu}[\p{L}.]+ ?")
+    e = drop(e, r" ?\([^()]*\) ?$")
+    e = f"regexp_replace({e}, ' ?× ?', ' x ', 'g')"
+    for word in RANK_WORDS:
+        e = f"regexp_replace({e}, '\\b{word}\\.? +', '{'subsp' if word == 'ssp' else word}. ', 'g')"
+    if rank == "species":
+        e = keep(e, "[^ ]+ +[^ ]+", rf" +(?:{'|'.join(RANK_WORDS)})\.? +.*")
+        e = keep(e, "[^ ]+ +[a-z][^ ]*", " +[a-z][^ ]*")
+    # a list of one, so that the name is made once and not twice
+    return f"trim(list_transform([{e}], lambda n: upper(left(n, 1)) || lower(substring(n, 2)))[1], chr(32) || chr(9) || chr(10) || chr(13))"
+
 
-NORM = normalise_sql
 COLS = "name_x, name_y, name_resolved, match_type, match_score, match_source, in_x, in_y, notes"
 
 
@@ -67,7 +93,7 @@ def cascade(x: tuple, y: tuple, *, rank: str = "species", overrides: bool = Fals
         stages.append(name)
 
     if overrides:
-        ctes.append(f"""located AS MATERIALIZED (SELECT row_number() OVER (ORDER BY override_id) AS k, o.name_x AS ox, o.name_y AS oy, coalesce(o.note, 'Manual override') AS note, a.name AS x, b.name AS y
+        ctes.append(f"""located AS MATERIALIZED (SELECT row_number() OVER (ORDER BY override_id) AS k, o.name_x AS ox, o.name_y AS oy, o.note, a.name AS x, b.name AS y
   FROM override_batch o LEFT JOIN {first('xs', 'norm', 'pos, name', "norm <> ''")} a ON {NORM('o.name_x', rank)} = a.norm
   LEFT JOIN {first('ys', 'norm', 'pos, name', "norm <> ''")} b ON {NORM('o.name_y', rank)} = b.norm)""")
         ctes.append("""loop(k, ux, uy, taken) AS (SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[], false UNION ALL

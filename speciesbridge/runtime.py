@@ -58,6 +58,11 @@ def _shared_folder(spark: SparkSession) -> str:
     return _own_folders["own"]
 
 
+def scratch(spark: SparkSession) -> str:
+    """The path of a new folder in the shared folder."""
+    return f"{_shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table to the shared folder and read it back: lineage ends, and lost executors lose nothing.
 
@@ -66,7 +71,7 @@ def cut(df: DataFrame) -> DataFrame:
     discard() deletes the table itself before the session ends.
     """
     spark, names = df.sparkSession, df.columns
-    path = f"{_shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    path = scratch(spark)
     places = [f"c{i}" for i in range(len(names))]
     void = {c for c, f in zip(places, df.schema.fields) if isinstance(f.dataType, NullType)}
     placed = df.toDF(*places)

@@ -18,6 +18,9 @@ SPECIES_COLUMNS = (
     "Binomial", "latin_name", "sci_name", "sciName", "phylo_name", "tip_label", "Species", "Species_name", "SPECIES",
 )
 BINOMIAL = r"^[A-Z][a-z]+ [a-z]+"
+#: How CSV files are written and read, so that values with blanks, quotes and line ends come back as they were, and ''
+#: apart from NULL, which is written NA.
+CSV = {"header": True, "escape": '"', "nullValue": "NA", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def binomial_shares(df: DataFrame) -> DataFrame:
@@ -69,7 +72,7 @@ def check_not_empty(found: DataFrame, what: str) -> DataFrame:
 
 def read_overrides(spark: SparkSession, source: str | DataFrame) -> DataFrame:
     """(name_x, name_y, user_note, pos) from a CSV file or a table; the note defaults to 'Pre-built override'."""
-    df = spark.read.csv(source, header=True) if isinstance(source, str) else source
+    df = spark.read.csv(source, multiLine=True, **CSV) if isinstance(source, str) else source
     require(df, ["name_x", "name_y"], "the overrides")
     if "user_note" not in df.columns:
         df = df.withColumn("user_note", F.lit("Pre-built override"))
@@ -83,4 +86,4 @@ def read_crosswalk(spark: SparkSession, source: str | DataFrame) -> DataFrame:
     kind = os.path.splitext(source)[1].lower()
     if kind not in (".csv", ".tsv", ".txt"):
         raise ValueError("a crosswalk file must be csv, tsv or txt")
-    return spark.read.csv(source, header=True, sep="," if kind == ".csv" else "\t")
+    return spark.read.csv(source, sep="," if kind == ".csv" else "\t", multiLine=True, **CSV)

@@ -1,19 +1,18 @@
-"""Results out: CSV tables, reports, and a cache of trees."""
+"""Results out: CSV tables and reports."""
 
 from __future__ import annotations
 
 import html
-import json
 import math
 import os
-from hashlib import sha1
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.mapping import Reconciliation, composition
 from ..operators.merge import apply_to_data
 from ..operators.trees import align
+from .ingest import CSV
 from .treefiles import write_trees
 
 # Rows that reports show at most, and the colours of match types.
@@ -24,19 +23,26 @@ COLOURS = {"exact": "#2166ac", "normalized": "#67a9cf", "synonym": "#5ab4ac", "f
 def export(rec: Reconciliation, folder: str, prefix: str = "reconciled", data: DataFrame | None = None, species: str | None = None, tree: DataFrame | None = None, tree_kind: str = "nexus", drop_unresolved: bool = False, order: list[str] | None = None) -> dict[str, str]:
     """Write the mapping, the aligned data and tree if given, and unused overrides if there are any; returns the paths."""
     out = {"mapping": os.path.join(folder, f"{prefix}_mapping")}
-    rec.mapping.write.mode("overwrite").csv(out["mapping"], header=True)
+    rec.mapping.write.mode("overwrite").csv(out["mapping"], **CSV)
     if data is not None:
         out["data"] = os.path.join(folder, f"{prefix}_data")
-        apply_to_data(rec.mapping, data, species or "species", drop_unresolved).write.mode("overwrite").csv(out["data"], header=True)
+        apply_to_data(rec.mapping, data, species or "species", drop_unresolved).write.mode("overwrite").csv(out["data"], **CSV)
     if tree is not None:
         out["tree"] = os.path.join(folder, f"{prefix}_tree")
         write_trees(align(tree, rec.mapping, order or ["name_x", "name_y"], drop_unresolved=drop_unresolved), out["tree"], tree_kind)
     if not rec.unused_overrides.isEmpty():
         out["unused"] = os.path.join(folder, f"{prefix}_unused_overrides")
-        rec.unused_overrides.write.mode("overwrite").csv(out["unused"], header=True)
+        rec.unused_overrides.write.mode("overwrite").csv(out["unused"], **CSV)
     return out
 
 
+def report_rows(mapping: DataFrame, kinds: list[str], n: int) -> DataFrame:
+    """(match_type, rank, name_x, name_y): the first n rows of each match type by name, which is all that a report shows."""
+    w = Window.partitionBy("match_type").orderBy("name_x", "name_y")
+    rows = mapping.where(F.col("match_type").isin(*kinds)).select("match_type", "name_x", "name_y")
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("match_type", "rank", "name_x", "name_y")
+
+
 def summary_text(rec: Reconciliation, detail: str = "full") -> str:
     """A summary to read; detail: full, brief or mismatches_only. Lists are cut after SUMMARY_ROWS names, as that is
     their purpose; the counts are of all rows."""
@@ -48,8 +54,9 @@ def summary_text(rec: Reconciliation, detail: str = "full") -> str:
     sections = [("unresolved", "Unresolved"), ("flagged", "Flagged for review"), ("fuzzy", "Fuzzy")]
     if detail == "full":
         sections += [("synonym", "Synonyms"), ("manual", "Manual"), ("normalized", "Normalised")]
+    listed = report_rows(rec.mapping, [k for k, _ in sections], SUMMARY_ROWS + 1).orderBy("rank").collect()
     for kind, title in sections:
-        rows = rec.mapping.where(F.col("match_type") == kind).orderBy("name_x", "name_y").limit(SUMMARY_ROWS + 1).collect()
+        rows = [r for r in listed if r["match_type"] == kind]
         if rows:
             lines.append(f"\n{title}:")
             lines += [f"  {r['name_x'] or '-'} -> {r['name_y'] or '-'}" for r in rows[:SUMMARY_ROWS]]
@@ -95,54 +102,3 @@ def plot_svg(mapping: DataFrame, kind: str = "bar") -> str:
         at += share
     size = "width='600' height='40'" if kind == "bar" else "width='200' height='200'"
     return f"<svg xmlns='http://www.w3.org/2000/svg' {size}>{''.join(parts)}</svg>"
-
-
-class TreeCache:
-    """Trees by what was asked for: parquet below folder/source/key. A damaged entry is a miss."""
-
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
-
-    @staticmethod
-    def key(species: list[str], source: str, **asked: object) -> str:
-        names = sorted({s for s in species if s is not None})
-        return sha1(json.dumps([names, source, sorted(asked.items(), key=lambda kv: kv[0])], ensure_ascii=False, default=str).encode()).hexdigest()
-
-    def _path(self, source: str, key: str) -> str:
-        return os.path.join(self.folder, source, key)
-
-    def put(self, source: str, key: str, edges: DataFrame) -> None:
-        edges.write.mode("overwrite").parquet(self._path(source, key))
-
-    def get(self, source: str, key: str) -> DataFrame | None:
-        try:
-            found = self.spark.read.parquet(self._path(source, key))
-            found.limit(1).collect()
-            return found
-        except Exception:  # noqa: BLE001 - whatever is wrong with an entry, it is a miss
-            return None
-
-    def _fs(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-    def status(self) -> list[dict]:
-        """Entries with source, key, bytes and time, the newest first."""
-        fs, path = self._fs()
-        if not fs.exists(path(self.folder)):
-            return []
-        out = []
-        for s in fs.listStatus(path(self.folder)):
-            for e in fs.listStatus(s.getPath()):
-                size = fs.getContentSummary(e.getPath()).getLength()
-                out.append({"source": s.getPath().getName(), "key": e.getPath().getName(), "bytes": size, "time": e.getModificationTime()})
-        return sorted(out, key=lambda e: (-e["time"], e["source"], e["key"]))
-
-    def clear(self, source: str | None = None) -> int:
-        """Remove all entries, or those of a source; returns how many there were."""
-        fs, path = self._fs()
-        gone = [e for e in self.status() if source is None or e["source"] == source]
-        for e in gone:
-            fs.delete(path(self._path(e["source"], e["key"])), True)
-        return len(gone)

@@ -77,18 +77,19 @@ def parse_nexus(text: str) -> list[tuple[str, list[tuple]]]:
     """[(name, edges)] of the trees of a Nexus text, its translate table applied to labels."""
     if not text.lstrip().upper().startswith("#NEXUS"):
         raise TreeSyntaxError("no Nexus file")
-    block = re.search(r"begin\s+trees\s*;(.*?)\bend(?:block)?\s*;", text, re.I | re.S)
-    if not block:
+    blocks = re.findall(r"begin\s+trees\s*;(.*?)\bend(?:block)?\s*;", text, re.I | re.S)
+    if not blocks:
         raise TreeSyntaxError("no block of trees")
-    names: dict[str, str] = {}
-    table = re.search(r"\btranslate\b(.*?);", block.group(1), re.I | re.S)
-    if table:
-        for entry in re.findall(r"\s*(\S+)\s+('(?:[^']|'')*'|[^\s,]+)\s*(?:,|$)", table.group(1)):
-            names[entry[0]] = entry[1][1:-1].replace("''", "'") if entry[1][0] == "'" else entry[1]
     out = []
-    for m in re.finditer(r"\b[u]?tree\s+\*?\s*('(?:[^']|'')*'|[^\s=]+)\s*=\s*", block.group(1), re.I):
-        edges, _ = parse_newick(block.group(1)[m.end() :])
-        out.append((m.group(1).strip("'"), [(p, c, n, names.get(lab, lab) if lab else lab, tip) for p, c, n, lab, tip in edges]))
+    for block in blocks:
+        names: dict[str, str] = {}
+        table = re.search(r"\btranslate\b(.*?);", block, re.I | re.S)
+        if table:
+            for entry in re.findall(r"\s*(\S+)\s+('(?:[^']|'')*'|[^\s,]+)\s*(?:,|$)", table.group(1)):
+                names[entry[0]] = entry[1][1:-1].replace("''", "'") if entry[1][0] == "'" else entry[1]
+        for m in re.finditer(r"\b[u]?tree\s+\*?\s*('(?:[^']|'')*'|[^\s=]+)\s*=\s*", block, re.I):
+            edges, _ = parse_newick(block[m.end() :])
+            out.append((m.group(1).strip("'"), [(p, c, n, names.get(lab, lab) if lab else lab, tip) for p, c, n, lab, tip in edges]))
     if not out:
         raise TreeSyntaxError("a block of trees without trees")
     return out

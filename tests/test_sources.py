@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from speciesbridge.functions.schema import MAPPING
 from speciesbridge.operators.mapping import Reconciliation
+from speciesbridge.sources.cache import TreeCache
 from speciesbridge.sources import ingest, sinks
 from speciesbridge.sources.treefiles import tree_from_text
 from speciesbridge.streaming.names import frozen_lookup, resolve_stream, windowed_counts
@@ -45,9 +46,10 @@ def test_export_report_and_cache(spark, tmp_path):
     assert "a &amp; b" in page and "<svg" in page and "A <b>" not in page
     text = sinks.summary_text(rec)
     assert "Unresolved" in text and "\n" not in sinks.summary_text(rec, "brief")
-    cache = sinks.TreeCache(spark, str(tmp_path / "cache"))
-    key = cache.key(["b", "a", None, "a"], "s", n=1)
-    assert key == cache.key(["a", "b"], "s", n=1) != cache.key(["a", "b"], "s", n=2)
+    cache = TreeCache(spark, str(tmp_path / "cache"))
+    names = lambda *n: spark.createDataFrame([(x,) for x in n], "name string")
+    key = cache.key(names("b", "a", None, "a"), "s", n=1)
+    assert key == cache.key(names("a", "b"), "s", n=1) != cache.key(names("a", "b"), "s", n=2)
     assert cache.get("s", key) is None and cache.status() == []
     cache.put("s", key, tree)
     assert cache.get("s", key).count() == 4 and [e["source"] for e in cache.status()] == ["s"]

@@ -214,7 +214,7 @@ def test_retrieval(spark, rows):
     service = spark.createDataFrame([("old name", "Falco new (species in x)", 2, True, False, "f"), ("nix nix", "", 1, False, False, None)], "search_string string, unique_name string, number_matches int, is_synonym boolean, approximate_match boolean, flags string")
     got = R.get_tree(names, R.TableProvider("table", tree, "cited {1}"), replacements=service)
     assert rows(got.mapping, "input_name", "tree_name", "match_type", "placement_status") == [
-        ("Old name", "Falco_new*", "tnrs", "genus_added"), ("Parus major", "Parus_major**", "exact", "family_added"), ("corvus_corax", "Corvus_corax", "normalized", "exact"), ("nix nix", None, "unmatched", "unmatched")]
+        ("Old name", "Falco_new*", "tnrs", None), ("Parus major", "Parus_major**", "exact", None), ("corvus_corax", "Corvus_corax", "normalized", None), ("nix nix", None, "unmatched", None)]
     assert len(rows(got.matched)) + len(rows(got.unmatched)) == got.meta["n_queried"] == 4
     assert "cited" in R.cite(got) and "\\{1\\}" in R.cite(got, "bibtex") and R.cite(got, "markdown").startswith("**")
 
@@ -226,6 +226,8 @@ def test_retrieval(spark, rows):
 
     auto = R.get_tree_auto(names, [Broken(), R.TableProvider("small", T.prune(tree, T.tips(tree).limit(1))), R.TableProvider("table", tree)], 0.5)
     assert auto.source == "table" and auto.meta["auto_attempts"]["broken"]["success"] is False
+    said = spark.createDataFrame([("Parus major", "Parus_major**", "family_added"), ("nix nix", "Nix_nix*", "genus_added")], "input_name string, tree_name string, placement_status string")
+    assert rows(R.tree_mapping(R.resolve_query(names), tree, placement=said).where("placement_status is not null"), "input_name", "tree_name", "placement_status") == rows(said)
     graf = R.get_tree(names, R.TableProvider("table", tree), branch_lengths="grafen", binary=True)
     assert T.ultrametric(graf.edges).first()["is_ultrametric"] is True
     with pytest.raises(ValueError):
@@ -269,3 +271,57 @@ def test_grafting_covers_the_forest(spark):
 def test_provider_stops_at_many_trees_too(spark):
     edges = spark.range(100_001).selectExpr("cast(id as string) as tree_id", "2L as parent", "1L as child", "1.0D as edge_length", "'a' as label", "true as is_tip")
     assert R.TableProvider("table", edges).fetch(None, 100_000).count() == 100_000
+
+
+def test_retrieval_options(spark, rows, tmp_path):
+    trees = N.tree_from_text(spark, "((Parus_major:1,Corvus_corax:1):1,Falco_new:3);", "t").unionByName(N.tree_from_text(spark, "((Parus_major:1,Corvus_corax:1):1,Zus_us:2);", "u"))
+    from speciesbridge.functions.schema import MAPPING
+    from speciesbridge.operators.mapping import Reconciliation
+    from speciesbridge.sources.cache import TreeCache
+
+    class Counting(R.TableProvider):
+        calls = 0
+
+        def fetch(self, query, n_tree):
+            Counting.calls += 1
+            return super().fetch(query, n_tree)
+
+    cache, provider = TreeCache(spark, str(tmp_path / "cache")), Counting("counting", trees)
+    named = spark.createDataFrame([("Parus major", 1), ("Corvus corax", 2), ("Zus us", 3)], "species string, n int")
+    with pytest.warns(UserWarning, match="1 of 2"):
+        one = R.get_tree(named, provider, n_tree=2, cache=cache)
+    again = R.get_tree(named, provider, n_tree=2, cache=cache, check_ultrametric=False)
+    assert Counting.calls == 1 and again.meta["cached"] and not one.meta["cached"] and rows(again.mapping) == rows(one.mapping)
+    assert one.meta["n_returned"] == 2 and one.meta["tip_set_consistent"] is False and rows(one.dropped) == [("t", "Zus_us"), ("u", "Falco_new")]
+    rec = Reconciliation(spark.createDataFrame([("a", "Parus_major", None, "exact", 1.0, "", True, True, ""), ("b", None, None, "unresolved", None, None, True, False, "")], MAPPING))
+    assert R.get_tree(rec, provider, check_ultrametric=False).meta["n_queried"] == 1
+    with pytest.raises(ValueError):
+        R.get_tree(named.limit(0), provider, species_col="species")
+    with pytest.raises(ValueError):
+        R.get_tree(named, provider, tnrs="always")
+    with pytest.raises(ValueError):
+        R.backend("unknown", trees)
+    assert R.provider_status([R.backend("rotl", trees)])[0]["needs_network"] is True
+
+
+def test_medians_are_of_lengths_before_levelling(spark, rows):
+    tree = N.tree_from_text(spark, "((Aus_one:6,Bus_one:6):4,Cus_one:10);", "t")
+    wanted = spark.createDataFrame([("t", "Aus a", 1), ("t", "Aus b", 2)], "tree_id string, name string, pos int")
+    grown, added, _ = T.graft(tree, wanted)
+    assert rows(added, "species", "branch_length") == [("Aus a", 6.0), ("Aus b", 4.5)]
+    assert T.ultrametric(grown).first()["is_ultrametric"] is True
+
+
+def test_augmenting_a_reconciliation(spark, rows):
+    from speciesbridge.functions.schema import MAPPING
+    from speciesbridge.operators.mapping import Reconciliation
+    from speciesbridge.operators.reconcile import reconcile_augment
+
+    tree = N.tree_from_text(spark, "((Aus_one:6,Bus_one:6):4,Cus_one:10);", "t")
+    open_ = lambda x: (x, None, None, "unresolved", None, None, True, False, "")
+    rec = Reconciliation(spark.createDataFrame([("Aus one", "Aus_one", None, "normalized", 1.0, "", True, True, ""), open_("Aus a"), open_("Zus z"), open_(None), (None, "Cus_one", None, "unresolved", None, None, False, True, "")], MAPPING))
+    got = reconcile_augment(rec, tree)
+    assert rows(got.augmented, "species", "placed_near") == [("Aus a", "Aus one")] and rows(got.skipped, "species") == [("Zus z",)]
+    assert got.meta == {"n_augmented": 1, "n_skipped": 1, "where": "genus", "branch_length_method": "congener_median", "source": "internal", "original_n_tips": 3, "augmented_n_tips": 4}
+    none = reconcile_augment(Reconciliation(rec.mapping.where("match_type = 'normalized'")), tree)
+    assert rows(T.tips(none.tree), "label") == rows(T.tips(tree), "label") and none.meta["n_augmented"] == 0
