@@ -139,8 +139,36 @@ def _first_skipped(spark: SparkSession, folder: str) -> DataFrame:
     return T.wanted_by_all(first_tree(_edges(spark, folder)), _wanted(spark, folder))[1]
 
 
-_add("graft_genus", None, lambda s, f: _grafts(s, f)[0])
-_add("graft_report", None, lambda s, f: _grafts(s, f)[1])
+# the names of a genus go one after the other to the middle of the edge of its first tip; lengths before levelling are kept
+# in a list, for the median
+FIRST_WORD = "nullif(regexp_extract(replace({c}, '_', ' '), '[^\\t\\n\\x0B\\f\\r ]+'), '')"
+GRAFT = W + f""", lab AS MATERIALIZED (SELECT t.*, {NORM('label')} AS norm, {FIRST_WORD.format(c='label')} AS genus FROM tree_edges t WHERE is_tip AND label IS NOT NULL),
+w AS (SELECT to_name AS name, min(xw_id) AS pos, {FIRST_WORD.format(c='to_name')} AS genus FROM crosswalk WHERE to_name IS NOT NULL GROUP BY 1),
+wanted AS (SELECT tree_id, name, g.genus, row_number() OVER (PARTITION BY tree_id ORDER BY pos) AS rank FROM w JOIN (SELECT DISTINCT tree_id, genus FROM lab WHERE genus IS NOT NULL) g ON w.genus = g.genus
+  WHERE NOT EXISTS (SELECT 1 FROM lab WHERE lab.tree_id = g.tree_id AND lab.norm = w.name)),
+q AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree_id, genus ORDER BY rank) AS k FROM wanted),
+dep AS (SELECT ta.tree_id, ta.node, ta.dist FROM ta JOIN rt ON ta.tree_id = rt.tree_id AND ta.ancestor = rt.root),
+lev AS (SELECT tree_id, max(dist) AS target, count(*) = count(dist) AND coalesce((max(dist) - min(dist)) / nullif(max(dist), 0) <= 1e-6, false) AS level FROM dep GROUP BY 1),
+tree AS (SELECT t.tree_id, max(greatest(parent, child)) AS top, count(edge_length) > 0 AS lengths, any_value(target) AS target, any_value(level) AS level FROM tree_edges t JOIN lev USING (tree_id) GROUP BY 1),
+g1 AS (SELECT tree_id, genus, arg_min(label, child) AS label, arg_min(parent, child) AS parent, min(child) AS child, arg_min(edge_length, child) AS len, count(*) AS n, coalesce(list(edge_length) FILTER (edge_length IS NOT NULL), []) AS known
+  FROM lab GROUP BY 1, 2),
+run AS (SELECT g.tree_id, g.genus, 0::BIGINT AS k, label, parent, child, len, n, known, dist AS depth, 0.0::DOUBLE AS bl, 0.0::DOUBLE AS mid, NULL::BIGINT AS rank, NULL::VARCHAR AS name, NULL::BIGINT AS hung, NULL::BIGINT AS above, false AS split
+  FROM g1 g JOIN dep ON dep.tree_id = g.tree_id AND dep.node = g.child
+  UNION ALL SELECT tree_id, genus, k, label, CASE WHEN half > 0 THEN top + 2 * rank ELSE parent END, child, CASE WHEN half > 0 AND lengths THEN half ELSE len END, n + 1,
+    CASE WHEN NOT lengths THEN known ELSE list_append(CASE WHEN half > 0 THEN list_append(list_concat(known[:list_position(known, len) - 1], known[list_position(known, len) + 1:]), half) ELSE known END, bl) END,
+    depth, bl, depth - half, rank, name, CASE WHEN half > 0 THEN top + 2 * rank ELSE parent END, parent, half > 0
+  FROM (SELECT r.tree_id, r.genus, q.k, label, parent, child, len, n, known, depth, q.rank, q.name, t.top, t.lengths, coalesce(len, 1.0) / 2 AS half, CASE WHEN len(known) > 0 THEN list_median(known) ELSE 0.0 END AS bl
+    FROM run r JOIN q ON q.tree_id = r.tree_id AND q.genus = r.genus AND q.k = r.k + 1 JOIN tree t ON t.tree_id = r.tree_id))
+"""
+# lengths are halved again and again, so many end in a 5: a little more takes them off the edge of rounding
+OFF = 3.3141e-8
+_add("graft_report", GRAFT + "SELECT tree_id, name AS species, genus, replace(label, '_', ' ') AS placed_near, round(bl + 3.3141e-8, 6) AS branch_length, 'genus/congener_median' AS method, n - 1 AS n_congeners FROM run WHERE k > 0",
+     lambda s, f: _grafts(s, f)[1].withColumn("branch_length", F.round(F.col("branch_length") + OFF, 6)))
+_add("graft_genus", GRAFT + """, last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tree_id, genus ORDER BY k DESC) AS rn FROM run) WHERE rn = 1)
+SELECT e.tree_id, coalesce(l.parent, e.parent) AS parent, e.child, round(CASE WHEN l.child IS NOT NULL THEN l.len ELSE e.edge_length END + 3.3141e-8, 6) AS edge_length, e.label, e.is_tip FROM tree_edges e LEFT JOIN last l ON l.tree_id = e.tree_id AND l.child = e.child
+UNION ALL SELECT r.tree_id, hung, top + 2 * rank - 1, round(CASE WHEN lengths THEN CASE WHEN level THEN target - mid ELSE bl END END + 3.3141e-8, 6), replace(name, ' ', '_'), true FROM run r JOIN tree t ON t.tree_id = r.tree_id WHERE k > 0
+UNION ALL SELECT r.tree_id, above, top + 2 * rank, round(CASE WHEN lengths THEN depth - mid END + 3.3141e-8, 6), NULL, false FROM run r JOIN tree t ON t.tree_id = r.tree_id WHERE k > 0 AND split""",
+     lambda s, f: _grafts(s, f)[0].withColumn("edge_length", F.round(F.col("edge_length") + OFF, 6)))
 _add("graft_skipped_all", f"""WITH l AS (SELECT DISTINCT tree_id, {NORM('label')} AS name, {GENUS.format(c='label')} AS genus FROM tree_edges WHERE is_tip AND label IS NOT NULL),
 w AS (SELECT name, nullif({GENUS.format(c='name')}, '') AS genus FROM (SELECT DISTINCT to_name AS name FROM crosswalk WHERE to_name IS NOT NULL))
 SELECT t.tree_id, w.name AS species, w.genus, CASE WHEN w.genus IS NULL THEN 'Could not extract genus from name' ELSE 'No congener in tree' END AS reason
@@ -184,4 +212,13 @@ SELECT input_name, normalized_name, query_name, f.label AS tree_name, f.label IS
 NULL::VARCHAR AS placement_status, tnrs_number_matches, tnrs_is_synonym, tnrs_approximate_match, tnrs_flags FROM r LEFT JOIN f ON {NORM('query_name')} = f.norm""",
      lambda s, f: R.tree_mapping(_query(s, f), _edges(s, f)))
 _add("tree_provenance", "SELECT tree_id, 'test trees' AS citation, 'none' AS calibration_method, count(*) AS n_tips FROM tree_edges WHERE is_tip GROUP BY 1", lambda s, f: R.provenance(_edges(s, f), "test trees", "none"))
-_add("newick_text", None, lambda s, f: to_newick(_edges(s, f)))
+# each node's bracket, label and length in the order of the paths of child ids that lead to them
+LABEL = (
+    r"CASE WHEN label IS NULL THEN '' WHEN regexp_full_match(label, '[^\s(),:;\[\]'']+') THEN label "
+    "ELSE chr(39) || replace(label, chr(39), chr(39) || chr(39)) || chr(39) END || CASE WHEN edge_length IS NULL THEN '' ELSE ':' || edge_length END"
+)
+_add("newick_text", W + f""", e AS (SELECT *, child <> min(child) OVER (PARTITION BY tree_id, parent) AS later, {LABEL} AS tail FROM tree_edges),
+way(tree_id, node, path) AS (SELECT tree_id, root, [0::BIGINT] FROM rt UNION ALL SELECT w.tree_id, e.child, list_append(w.path, e.child) FROM way w JOIN tree_edges e ON e.tree_id = w.tree_id AND e.parent = w.node),
+k AS (SELECT w.*, coalesce(later, false) AS later, coalesce(tail, '') AS tail, EXISTS (SELECT 1 FROM tree_edges c WHERE c.tree_id = w.tree_id AND c.parent = w.node) AS inner_ FROM way w LEFT JOIN e ON e.tree_id = w.tree_id AND e.child = w.node),
+t AS (SELECT tree_id, path, CASE WHEN later THEN ',' ELSE '' END || CASE WHEN inner_ THEN '(' ELSE tail END AS word FROM k UNION ALL SELECT tree_id, list_append(path, 9000000000000000000), ')' || tail FROM k WHERE inner_)
+SELECT tree_id, string_agg(word, '' ORDER BY path) || ';' AS newick FROM t GROUP BY tree_id""", lambda s, f: to_newick(_edges(s, f)))

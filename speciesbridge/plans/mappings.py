@@ -91,7 +91,26 @@ def _batch(spark: SparkSession, folder: str) -> DataFrame:
     return b.where("action = 'reject' or name_y is not null").withColumn("note", F.coalesce("note", F.lit("")))
 
 
-@REGISTRY.add("override_batch")
+# episodes of a name_x: number 0 is before its first accept, each accept begins another; rows leave at the first accept of
+# their name_x or, if open, of their name_y; what a reject sets free is counted as it stood then
+BATCH = f"""WITH b AS (SELECT override_id AS pos, name_x AS x, name_y AS y, coalesce(lower(trim(action)), 'accept') = 'reject' AS rej, coalesce(note, '') AS note FROM override_batch WHERE name_x IS NOT NULL),
+n AS (SELECT *, count(*) FILTER (NOT rej) OVER (PARTITION BY x ORDER BY pos) AS g FROM b WHERE rej OR y IS NOT NULL),
+e AS (SELECT x, g, min(pos) FILTER (NOT rej) AS b, max(y) FILTER (NOT rej) AS y, max(note) FILTER (NOT rej) AS note, min(pos) FILTER (rej) AS r, arg_max(note, pos) FILTER (rej) AS why FROM n GROUP BY 1, 2),
+ep AS MATERIALIZED (SELECT *, lead(b) OVER (PARTITION BY x ORDER BY g) AS nx FROM e),
+m AS MATERIALIZED (SELECT m.*, (SELECT min(b) FROM ep WHERE ep.x = m.name_x AND g = 1) AS gone, (SELECT r FROM ep WHERE ep.x = m.name_x AND g = 0) AS r0, (SELECT why FROM ep WHERE ep.x = m.name_x AND g = 0) AS why,
+  CASE WHEN match_type = 'unresolved' AND NOT in_x THEN (SELECT min(b) FROM ep WHERE ep.y = m.name_y AND g > 0) END AS taken FROM mapping m),
+f AS MATERIALIZED (SELECT name_x, min(map_id) AS map_id FROM m WHERE r0 IS NOT NULL AND (taken IS NULL OR taken > r0) GROUP BY 1),
+h AS MATERIALIZED (SELECT m.*, f.map_id IS NOT NULL AS first, CASE WHEN f.map_id IS NOT NULL THEN r0 ELSE least(gone, taken) END AS leaves FROM m LEFT JOIN f ON m.map_id = f.map_id),
+free AS (SELECT name_y AS y, r0 AS t FROM h WHERE first AND name_y IS NOT NULL UNION ALL SELECT y, r FROM ep WHERE g > 0 AND r IS NOT NULL),
+left_over AS (SELECT y, t, (SELECT count(*) FROM h WHERE h.name_y = free.y AND (leaves IS NULL OR leaves > t)) + (SELECT count(*) FROM ep WHERE ep.y = free.y AND g > 0 AND b <= t AND (coalesce(r, nx) IS NULL OR coalesce(r, nx) > t)) AS k FROM free)
+SELECT {COLS} FROM h WHERE NOT first AND gone IS NULL AND taken IS NULL
+UNION ALL SELECT name_x, NULL, name_resolved, 'unresolved', NULL, NULL, in_x, false, 'Rejected: ' || why FROM h WHERE first AND gone IS NULL
+UNION ALL SELECT x, y, NULL, 'manual', 1.0, 'user_override', true, true, note FROM ep WHERE g > 0 AND nx IS NULL AND r IS NULL
+UNION ALL SELECT x, NULL, NULL, 'unresolved', NULL, NULL, true, false, 'Rejected: ' || why FROM ep WHERE g > 0 AND nx IS NULL AND r IS NOT NULL
+UNION ALL SELECT DISTINCT NULL, y, NULL, 'unresolved', NULL::DOUBLE, NULL, false, true, 'Re-added after rejection' FROM left_over WHERE k = 0 AND t > coalesce((SELECT max(b) FROM ep WHERE ep.y = left_over.y AND g > 0), -1)"""
+
+
+@REGISTRY.add("override_batch", BATCH)
 def override_batch(spark: SparkSession, folder: str) -> DataFrame:
     return M.override_batch(_mapping(spark, folder), _batch(spark, folder), "override_id", ORDER)
 
