@@ -276,11 +276,15 @@ def _spread(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
 
 
 def _hops(buckets: int) -> list[int]:
-    """Buckets at each hop: at most FAN of the first and FAN times as many at each next one."""
-    out = [buckets]
-    while out[0] > FAN:
-        out.insert(0, -(-out[0] // FAN))
-    return [out[0] * FAN**i for i in range(len(out))]
+    """Buckets at each hop: FAN of the first and up to FAN times as many at each next one.
+
+    The first hops are full, so that a block of FAN batches, FAN times as large at each hop, gives a bucket no more
+    hashes than one batch has; only the last hop is as wide as the buckets need.
+    """
+    out = [min(buckets, FAN)]
+    while out[-1] < buckets:
+        out.append(out[-1] * min(FAN, -(-buckets // out[-1])))
+    return out
 
 
 def _judged(questions: DataFrame, batches: int, hops: list[int], chain: int, width: int = 0) -> DataFrame:
@@ -301,7 +305,7 @@ def _judged(questions: DataFrame, batches: int, hops: list[int], chain: int, wid
         return _spread(questions, 4 * hops[0], "bucket").groupBy("bucket").applyInArrow(judge, MESSAGE)
     bits = FAN.bit_length() - 1 + width
     blocks = questions.withColumn("block", F.shiftright("batch", bits - width))
-    keyed = _spread(blocks, 2 * hops[0] * -(-batches // FAN), "block", "bucket").groupBy("block", "bucket")
+    keyed = _spread(blocks, hops[0] * -(-batches // FAN), "block", "bucket").groupBy("block", "bucket")
 
     def ask_on(table: pa.Table) -> pa.Table:
         if table["bucket"][0].as_py() < 0:
@@ -325,7 +329,7 @@ def _judged(questions: DataFrame, batches: int, hops: list[int], chain: int, wid
     told = upper.withColumn("block", F.col("batch")).withColumn("fine", F.col("bucket"))
     ratio = hops[1] // hops[0]
     told = told.withColumn("bucket", F.floor(F.col("fine") / ratio)).select("block", "bucket", "batch", F.col("fine"), "a", "b", "c")
-    told = _spread(told, 2 * hops[0] * -(-batches // FAN), "block", "bucket").groupBy("block", "bucket")
+    told = _spread(told, hops[0] * -(-batches // FAN), "block", "bucket").groupBy("block", "bucket")
     return keyed.cogroup(told).applyInArrow(lambda t, u: answer(t, u.drop(["bucket"]).rename_columns(["block", "batch", "bucket", "a", "b", "c"])), MESSAGE)
 
 
@@ -467,7 +471,8 @@ def shared_spans(df: DataFrame, key: str, text: str, span: int = 200, batch_char
         return docs.cogroup(_spread(out, 2 * batches, "batch").groupBy("batch"))
 
     marked = lambda df_, mark: df_.withColumn("c", F.lit(mark).cast("binary"))
-    anchors = _judged(docs.applyInArrow(ask_anchors, MESSAGE), batches, anchor_hops, 0)
+    # a table of bits: with it the shuffles of all hops about anchors go before those about spans are written
+    anchors = cut(_judged(docs.applyInArrow(ask_anchors, MESSAGE), batches, anchor_hops, 0))
     questions = together(anchors).applyInArrow(ask_spans, MESSAGE)
     known = cut(_judged(questions, batches, span_hops, chain))
     texts = marked(together(known).applyInArrow(send_text, MESSAGE), "text")

@@ -124,3 +124,14 @@ def test_equal_compares_stretches(monkeypatch):
     at = np.concatenate([np.arange(5, 150), rng.integers(0, 190, 60)])
     to = np.concatenate([np.arange(15, 160), rng.integers(0, 190, 60)])
     assert (S._equal(a, at, b, to, 5) == [(a[i : i + 5] == b[j : j + 5]).all() for i, j in zip(at, to)]).all()
+
+
+@pytest.mark.parametrize("total", [1_300_000_000, 1_500_000_000, 5_700_000_000, 50_000_000_000, 900_000_000_000])
+def test_no_hop_gives_a_task_more_hashes_than_a_batch_has(total):
+    per_batch = S.BATCH_CHARS * len(S.COVERS[91]) / 91
+    hops = S._hops(-(-int(total * len(S.COVERS[91]) / 91) // S.BUCKET_HASHES))
+    for i, buckets in enumerate(hops[:-1]):
+        block = min(S.FAN ** (i + 1), -(-total // S.BATCH_CHARS))
+        assert block * per_batch / buckets <= 1.01 * per_batch
+        assert hops[i + 1] % buckets == 0 and hops[i + 1] // buckets <= S.FAN
+    assert total * len(S.COVERS[91]) / 91 / hops[-1] <= S.BUCKET_HASHES
