@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.relational import first_rows, one_row
 from ..functions.schema import MAPPING, check_mapping, require
+from ..runtime import cut
 from ..sources.ingest import species_column
 
+#: A key that gives more rows than this is joined in shares of about so many, each in its own place among MOST_SHARES.
+#: Such keys are at most as many as both tables have rows by twice its root, so that their list is small.
+SHARE_ROWS = 2_000_000
+MOST_SHARES = 4096
+
 
 def _keyed(mapping: DataFrame, data_x: DataFrame, data_y: DataFrame, species: tuple[str | None, str | None], suffix: tuple[str, str], order: list[str] | None) -> list[DataFrame]:
     """Both tables with `_key`, the resolved name of their species, columns of both with their suffixes."""
@@ -26,6 +32,29 @@ def _keyed(mapping: DataFrame, data_x: DataFrame, data_y: DataFrame, species: tu
     return out
 
 
+def _joined(x: DataFrame, y: DataFrame, how: str) -> DataFrame:
+    """x and y joined on _key; what keys that give many rows give is spread over tasks.
+
+    Both sides have such keys, so theirs is an inner join, whatever how is. Rows of x go to a share by the hash of all their
+    columns, and those of y to every share of their key.
+    """
+    count = lambda df, n: df.where("_key is not null").groupBy("_key").agg(F.count("*").alias(n))
+    given = F.col("_nx") * F.col("_ny")
+    shares = F.least(F.ceil(given / SHARE_ROWS), F.lit(MOST_SHARES)).cast("int").alias("_shares")
+    hot = cut(count(x, "_nx").join(count(y, "_ny"), "_key").where(given > SHARE_ROWS).select("_key", shares))
+    if hot.isEmpty():
+        return x.join(y, "_key", how)
+    few = F.broadcast(hot)
+    rest = x.join(few, "_key", "left_anti").join(y.join(few, "_key", "left_anti"), "_key", how)
+    n = 16 * x.sparkSession.sparkContext.defaultParallelism
+    hashed = [F.col(f"`{c}`") for c, t in x.dtypes if "map<" not in t]
+    dealt = x.join(few, "_key").withColumn("_share", F.pmod(F.xxhash64(*hashed), F.col("_shares")).cast("int")).drop("_shares")
+    every = y.join(few, "_key").withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).drop("_shares")
+    # a number of partitions of its own, for adaptive execution would put small inputs together again, large as their result is
+    spread = lambda df: df.repartition(n, "_key", "_share")
+    return rest.union(spread(dealt).join(spread(every), ["_key", "_share"]).drop("_share"))
+
+
 def merge(
     mapping: DataFrame, data_x: DataFrame, data_y: DataFrame, species_x: str | None = None, species_y: str | None = None,
     how: str = "inner", suffix: tuple[str, str] = ("_x", "_y"), drop_unresolved: bool = False, order: list[str] | None = None,
@@ -36,15 +65,15 @@ def merge(
     of several rows of a name the first by `order` counts (default: all columns). Species columns are found if not named.
     how: inner, left or full. Rows without a key meet nothing and stay, with NULL, on the sides that how keeps, unless
     drop_unresolved. Columns that both tables have get the suffixes on both sides. Species that occur repeatedly multiply,
-    as in any join, which merge_duplicates counts beforehand; skewed ones are split by adaptive execution. Empty tables are
-    as in SQL.
+    as in any join, which merge_duplicates counts beforehand; those that give more than SHARE_ROWS rows are split by what
+    they give, for they may be small before. Empty tables are as in SQL.
     """
     if how not in ("inner", "left", "full"):
         raise ValueError("how must be inner, left or full")
     x, y = _keyed(mapping, data_x, data_y, (species_x, species_y), suffix, order)
     if how != "full":
         y = y.where("_key is not null")
-    out = x.join(y, "_key", how)
+    out = _joined(x, y, how)
     if drop_unresolved:
         out = out.where("_key is not null")
     return out.select(F.col("_key").alias("species_resolved"), *[F.col(f"`{c}`") for c in out.columns if c != "_key"])

@@ -137,3 +137,24 @@ def test_crosswalk(spark, rows):
     done, audit = crosswalk_supplement(m, crosswalk_overrides(cw, "f", "t"))
     assert rows(done, "name_x", "name_y", "match_type") == rows(spark.createDataFrame([("A", "P", "manual"), ("B", "Q", "manual"), ("Z", "Y", "exact")], "a string, b string, c string"))
     assert audit.first().asDict() == {"n_crosswalk_rows": 4, "n_unresolved_x": 2, "n_unresolved_y": 2, "n_available": 2, "n_applied": 2, "n_ambiguous": 0}
+
+
+@pytest.mark.parametrize(("how", "drop", "suffix"), [("inner", False, ("_x", "_y")), ("left", False, ("_x", "_y")), ("full", False, ("_x", "_y")), ("full", True, ("_x", "_y")), ("left", False, (".a", ".b"))])
+def test_merge_spreads_what_a_key_gives(spark, rows, monkeypatch, how, drop, suffix):
+    m = spark.createDataFrame([row("a", "a"), row("b", "b"), row("c", "c"), row("d", "d"), open_x("u")], MAPPING)
+    sx, sy = ["a"] * 40 + ["b"] * 3 + ["c", "u", None, "zz"], ["a"] * 25 + ["b"] * 9 + ["d", "d", None, "yy"]
+    x = spark.createDataFrame([(i // 2, s) for i, s in enumerate(sx)], "i int, sp string")
+    y = spark.createDataFrame([(i, s) for i, s in enumerate(sy)], "i int, sp string")
+    key = lambda s: s if s in set("abcd") else None
+    want = [(key(p), i // 2, p, j, q) for i, p in enumerate(sx) for j, q in enumerate(sy) if key(p) and key(p) == key(q)]
+    if how != "inner":
+        want += [(key(p), i // 2, p, None, None) for i, p in enumerate(sx) if p not in ("a", "b")]
+    if how == "full":
+        want += [(key(q), None, None, j, q) for j, q in enumerate(sy) if q not in ("a", "b")]
+    want = sorted((w for w in want if w[0] or not drop), key=repr)
+    monkeypatch.setattr("speciesbridge.operators.merge.SHARE_ROWS", 20)
+    out = merge(m, x, y, "sp", "sp", how, suffix, drop)
+    assert out.columns == ["species_resolved", *[c + s for s in suffix for c in ("i", "sp")]]
+    assert rows(out) == want
+    parts = out.where("species_resolved = 'a'").rdd.glom().map(len).collect()
+    assert sum(parts) == 1000 and sum(n > 0 for n in parts) > 5
