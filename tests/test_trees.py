@@ -325,3 +325,22 @@ def test_augmenting_a_reconciliation(spark, rows):
     assert got.meta == {"n_augmented": 1, "n_skipped": 1, "where": "genus", "branch_length_method": "congener_median", "source": "internal", "original_n_tips": 3, "augmented_n_tips": 4}
     none = reconcile_augment(Reconciliation(rec.mapping.where("match_type = 'normalized'")), tree)
     assert rows(T.tips(none.tree), "label") == rows(T.tips(tree), "label") and none.meta["n_augmented"] == 0
+
+
+@pytest.mark.parametrize("how", ["congener_median", "half_terminal", "zero"])
+@pytest.mark.parametrize("lengths", ["whole", "gaps", "none"])
+def test_genera_at_once_are_as_name_by_name(spark, rows, how, lengths):
+    rng, edges = random.Random(how + lengths), []
+    for tree in ("t1", "t2", "t3"):
+        for i in range(14):
+            size = {"whole": rng.choice([0.0, 0.25, 1.0, 3.0]), "gaps": rng.choice([None, 0.5, 2.0]), "none": None}[lengths]
+            level = 1.0 if tree == "t3" and lengths == "whole" else size
+            edges.append((tree, 1, 2 + i, level, f"{rng.choice(['Ab', 'Cd', 'ef'])}_s{i}", True))
+    df = spark.createDataFrame(edges, T.TREE)
+    new = [(f"{rng.choice(['Ab', 'Cd', 'Ef', 'Gh'])} n{i}", 2 * i) for i in range(60)] + [(f"Ab s{i}", 2 * i + 1) for i in range(14)]
+    species = spark.createDataFrame(new, "name string, pos bigint")
+    one, said, _ = T.graft(df, T.wanted_by_all(df, species)[0], how)
+    all_, said_all, _ = T.graft_all(df, species, how)
+    assert rows(all_, *T.EDGE) == rows(one, *T.EDGE)
+    assert rows(said_all, *said.columns) == rows(said, *said.columns)
+    assert T._hung(1.0, [1.0, 1.0, 4.0], True, 1200, how)[1] == 1074
