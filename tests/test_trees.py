@@ -344,3 +344,18 @@ def test_genera_at_once_are_as_name_by_name(spark, rows, how, lengths):
     assert rows(all_, *T.EDGE) == rows(one, *T.EDGE)
     assert rows(said_all, *said.columns) == rows(said, *said.columns)
     assert T._hung(1.0, [1.0, 1.0, 4.0], True, 1200, how)[1] == 1074
+
+
+def test_what_trees_lack_is_counted_without_a_row_for_each(spark, monkeypatch):
+    from speciesbridge.operators import reconcile as C
+    from speciesbridge.operators.mapping import Reconciliation
+
+    edges = [(t, 1, 2 + i, 1.0, label, True) for t, labels in {"t1": ["Ab_a", "Ab_b", "cd_x", None], "t2": ["Cd_x", "Ab_a"], "t3": ["Ef_e"]}.items() for i, label in enumerate(labels)]
+    df = spark.createDataFrame(edges, T.TREE)
+    names = ["Ab a", "Ab c", "Cd x", "Cd y", "Gh g", "  ", "ef e"]
+    wanted = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, pos bigint")
+    assert T.count_lacking(df, wanted) == tuple(t.count() for t in T.wanted_by_all(df, wanted)) and T.count_lacking(df, wanted.limit(0)) == (0, 0)
+    monkeypatch.setattr(T, "graft", None)  # nothing goes name by name
+    mapping = spark.createDataFrame([(n, None, None, "unresolved", None, None, True, False, "") for n in names], MAPPING)
+    meta = C.reconcile_augment(Reconciliation(mapping), df).meta
+    assert (meta["n_augmented"], meta["n_skipped"]) == T.count_lacking(df, wanted)
