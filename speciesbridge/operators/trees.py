@@ -538,65 +538,109 @@ def graft_all(edges: DataFrame, wanted: DataFrame, branch_length: str = "congene
     rows = labels.drop("is_tip").unionByName(names.withColumnRenamed("name", "label").join(F.broadcast(blocks)), allowMissingColumns=True)
     columns = ["tree_id", "genus", "norm", "label", "parent", "child", "edge_length", "depth", "level", "target", "top", "lengths", "pos"]
 
-    def placed(full: bool):
-        """full: the first tips as they then are, grafted tips and their nodes; else what is said of the grafted ones."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(list(batches)).select(columns)
-            is_name = pc.is_null(table["tree_id"])
-            new, old = table.filter(is_name).sort_by("pos"), table.filter(pc.invert(is_name))
-            if not old.num_rows or not new.num_rows:
-                return
-            pos, text, species = np.arange(new.num_rows), new["label"].combine_chunks(), new["label"].combine_chunks()
-            if full:
-                text = pc.replace_substring(text, " ", "_")
-            kinds = new["genus"].combine_chunks().dictionary_encode()
-            code, kinds = np.asarray(kinds.indices), kinds.dictionary
-            of = dict(zip(kinds.to_pylist(), np.split(pos[np.argsort(code, kind="stable")], np.cumsum(np.bincount(code, minlength=len(kinds)))[:-1])))
-            owned = pc.index_in(old["norm"], value_set=species)
-            pdf = old.select([c for c in columns if c not in ("norm", "pos")]).to_pandas().assign(owned=owned.to_pandas().fillna(-1).astype("int64").to_numpy())
-            value = lambda v: None if pd.isna(v) else v
-            for tree, tips_ in pdf.groupby("tree_id"):
-                lacks = np.ones(len(pos), bool)
-                lacks[tips_["owned"][tips_["owned"] >= 0].to_numpy()] = False
-                genera = {g: t.sort_values("child") for g, t in tips_.groupby("genus") if g in of}
-                here = np.zeros(len(pos), bool)
-                for g in genera:
-                    here[of[g]] = True
-                rank = np.cumsum(here & lacks)
-                one = tips_.iloc[0]
-                lengths, base, target = int(one["lengths"]) > 0, int(one["top"]), value(one["target"])
-                level = bool(one["level"]) and keep_ultrametric and branch_length != "zero"
-                for g, t in genera.items():
-                    own, first = of[g][lacks[of[g]]], t.iloc[0]
-                    length, depth, k = value(first["edge_length"]), value(first["depth"]), len(own)
-                    halves, splits, bl = _hung(length, t["edge_length"].dropna().tolist(), lengths, k, branch_length)
-                    if not full:
-                        near = first["label"].replace("_", " ")
-                        yield from _batches([tree, species.take(pa.array(own)), g, near, bl, np.arange(len(t), len(t) + k)], AUGMENTED, k)
-                        continue
-                    node = base + 2 * rank[own]
-                    above = np.append(int(first["parent"]), node[:splits])
-                    at = None if depth is None else np.where(np.arange(k) < splits, depth - halves, depth)
-                    tip_length = target - at if level and at is not None and target is not None else bl
-                    none = lambda m: pa.nulls(m, pa.float64())
-                    left = halves[splits - 1] if splits and lengths else None if splits else length
-                    yield from _batches([tree, above[-1:], np.array([int(first["child"])]), pa.array([left], pa.float64()), first["label"], True], PLACED, 1)
-                    yield from _batches([tree, np.append(node[:splits], np.full(k - splits, above[-1])), node - 1, tip_length if lengths else none(k), text.take(pa.array(own)), True], PLACED, k)
-                    yield from _batches([tree, above[:splits], node[:splits], halves[:splits] if lengths else none(splits), None, False], PLACED, splits)
-
-        return run
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first tips as they then are, grafted tips and their nodes."""
+        table = pa.Table.from_batches(list(batches)).select(columns)
+        is_name = pc.is_null(table["tree_id"])
+        new, old = table.filter(is_name).sort_by("pos"), table.filter(pc.invert(is_name))
+        if not old.num_rows or not new.num_rows:
+            return
+        pos, species = np.arange(new.num_rows), new["label"].combine_chunks()
+        text = pc.replace_substring(species, " ", "_")
+        kinds = new["genus"].combine_chunks().dictionary_encode()
+        code, kinds = np.asarray(kinds.indices), kinds.dictionary
+        of = dict(zip(kinds.to_pylist(), np.split(pos[np.argsort(code, kind="stable")], np.cumsum(np.bincount(code, minlength=len(kinds)))[:-1])))
+        owned = pc.index_in(old["norm"], value_set=species)
+        pdf = old.select([c for c in columns if c not in ("norm", "pos")]).to_pandas().assign(owned=owned.to_pandas().fillna(-1).astype("int64").to_numpy())
+        value = lambda v: None if pd.isna(v) else v
+        for tree, tips_ in pdf.groupby("tree_id"):
+            lacks = np.ones(len(pos), bool)
+            lacks[tips_["owned"][tips_["owned"] >= 0].to_numpy()] = False
+            genera = {g: t.sort_values("child") for g, t in tips_.groupby("genus") if g in of}
+            here = np.zeros(len(pos), bool)
+            for g in genera:
+                here[of[g]] = True
+            rank = np.cumsum(here & lacks)
+            one = tips_.iloc[0]
+            lengths, base, target = int(one["lengths"]) > 0, int(one["top"]), value(one["target"])
+            level = bool(one["level"]) and keep_ultrametric and branch_length != "zero"
+            for g, t in genera.items():
+                own, first = of[g][lacks[of[g]]], t.iloc[0]
+                length, depth, k = value(first["edge_length"]), value(first["depth"]), len(own)
+                halves, splits, bl = _hung(length, t["edge_length"].dropna().tolist(), lengths, k, branch_length)
+                node = base + 2 * rank[own]
+                above = np.append(int(first["parent"]), node[:splits])
+                at = None if depth is None else np.where(np.arange(k) < splits, depth - halves, depth)
+                tip_length = target - at if level and at is not None and target is not None else bl
+                none = lambda m: pa.nulls(m, pa.float64())
+                left = halves[splits - 1] if splits and lengths else None if splits else length
+                yield from _batches([tree, above[-1:], np.array([int(first["child"])]), pa.array([left], pa.float64()), first["label"], True], PLACED, 1)
+                yield from _batches([tree, np.append(node[:splits], np.full(k - splits, above[-1])), node - 1, tip_length if lengths else none(k), text.take(pa.array(own)), True], PLACED, k)
+                yield from _batches([tree, above[:splits], node[:splits], halves[:splits] if lengths else none(splits), None, False], PLACED, splits)
 
     grouped = rows.repartition(n, "block").groupBy("block")
     firsts = labels.join(names.select("genus").distinct(), "genus", "left_semi").groupBy("tree_id", "genus").agg(F.min("child").alias("child")).select("tree_id", "child")
-    tree = edges.join(firsts, ["tree_id", "child"], "left_anti").select(*EDGE).unionByName(grouped.applyInArrow(placed(True), _ddl(PLACED)))
-    said = grouped.applyInArrow(placed(False), _ddl(AUGMENTED))
-    augmented = said.select("tree_id", "species", "genus", "placed_near", "branch_length", F.lit(f"{where}/{branch_length}").alias("method"), "n_congeners")
-    return tree, augmented, skipped
+    tree = edges.join(firsts, ["tree_id", "child"], "left_anti").select(*EDGE).unionByName(grouped.applyInArrow(placed, _ddl(PLACED)))
+    return tree, grafted_all(edges, wanted, branch_length), skipped
+
+
+#: Names of a genus that are written out together where they meet the trees with that genus.
+TOGETHER = 2_000
+#: No length can be halved so often before it is 0.
+MOST_HALVINGS = 2_200
+
+
+def grafted_all(edges: DataFrame, wanted: DataFrame, branch_length: str = "congener_median") -> DataFrame:
+    """What graft_all says of the names that it grafts (where genus), without making the trees.
+
+    All that differs between the names of a genus of a tree are their places and the first few branch lengths, so a row
+    per tree and genus is computed, and rows per name are written out where it meets the names, in runs of TOGETHER.
+    """
+    if branch_length not in ("congener_median", "half_terminal", "zero"):
+        raise ValueError("unknown branch_length")
+    from pyspark.sql import Window
+
+    ship(edges.sparkSession)
+    spaced = lambda c: F.regexp_replace(c, "_", " ")
+    named = wanted.groupBy("name").agg(F.min("pos").alias("pos")).withColumn("genus", genus(spaced(F.col("name")))).where("genus is not null")
+    named = cut(named.select("name", "genus", (F.row_number().over(Window.partitionBy("genus").orderBy("pos", "name")) - 1).alias("at")))
+    labels = edges.where("is_tip and label is not null")
+    firsts = labels.withColumn("genus", genus(spaced(F.col("label")))).where("genus is not null").groupBy("tree_id", "genus").agg(
+        F.min(F.struct("child", "label", "edge_length")).alias("tip"), F.sort_array(F.collect_list("edge_length")).alias("known"), F.count("*").alias("n")
+    )
+    owned = labels.select("tree_id", normalise(F.col("label")).alias("name")).distinct().join(named, "name").groupBy("tree_id", "genus").agg(F.collect_list("at").alias("owned"))
+    lengths = edges.groupBy("tree_id").agg((F.count("edge_length") > 0).alias("lengths"))
+
+    @F.pandas_udf("array<double>")
+    def hung(first: pd.Series, known: pd.Series, lengths: pd.Series, names: pd.Series) -> pd.Series:
+        """Branch lengths as far as they differ; all further ones are like the last."""
+        out = []
+        for f, k, has, n in zip(first, known, lengths, names):
+            bl = _hung(None if pd.isna(f) else f, list(k), bool(has), min(int(n), MOST_HALVINGS), branch_length)[2]
+            out.append(bl[: np.max(np.flatnonzero(bl[1:] != bl[:-1]), initial=-1) + 2])
+        return pd.Series(out)
+
+    none = F.array().cast("array<int>")
+    per = firsts.join(named.groupBy("genus").agg(F.count("*").alias("names")), "genus").join(owned, ["tree_id", "genus"], "left").join(lengths, "tree_id")
+    per = per.withColumn("owned", F.coalesce("owned", none)).where("names > size(owned)")
+    # a table, so that lengths are computed once and before rows are repeated
+    per = cut(per.select("tree_id", "genus", F.regexp_replace("tip.label", "_", " ").alias("placed_near"), hung("tip.edge_length", "known", "lengths", F.expr("names - size(owned)")).alias("bl"), "n", "names", "owned"))
+    runs = named.groupBy("genus", F.expr(f"at div {TOGETHER}").alias("run")).agg(F.sort_array(F.collect_list(F.struct("at", "name"))).alias("some")).select("genus", "run", F.col("some.name").alias("some"))
+    meet = per.withColumn("run", F.explode(F.expr(f"sequence(0, (names - 1) div {TOGETHER})"))).withColumns({
+        "before": F.expr(f"run * {TOGETHER} - size(filter(owned, i -> i < run * {TOGETHER}))"), "owned": F.expr(f"filter(owned, i -> i div {TOGETHER} = run)")
+    }).drop("names")
+    n = 8 * edges.sparkSession.sparkContext.defaultParallelism
+    # sorted by genus, so that equal names are written one after the other
+    met = meet.repartition(n, "genus", "run").hint("merge").join(runs.repartition(n, "genus", "run"), ["genus", "run"])
+    lacked = F.when(F.size("owned") == 0, F.col("some")).otherwise(F.array_except("some", F.expr(f"transform(owned, i -> some[int(i - run * {TOGETHER})])")))
+    rows = met.select("tree_id", "genus", "placed_near", "bl", "n", "before", F.posexplode(lacked).alias("i", "species"))
+    at = F.col("before") + F.col("i")
+    return rows.select(
+        "tree_id", "species", "genus", "placed_near", F.expr("bl[int(least(before + i, size(bl) - 1))]").alias("branch_length"), F.lit(f"genus/{branch_length}").alias("method"), (F.col("n") + at).alias("n_congeners")
+    )
 
 
 PLACED = pa.schema([("tree_id", pa.string()), ("parent", pa.int64()), ("child", pa.int64()), ("edge_length", pa.float64()), ("label", pa.string()), ("is_tip", pa.bool_())])
-AUGMENTED = pa.schema([("tree_id", pa.string()), ("species", pa.string()), ("genus", pa.string()), ("placed_near", pa.string()), ("branch_length", pa.float64()), ("n_congeners", pa.int64())])
 
 
 def _ddl(schema: pa.Schema) -> str:

@@ -163,7 +163,7 @@ run AS (SELECT g.tree_id, g.genus, 0::BIGINT AS k, label, parent, child, len, n,
 # lengths are halved again and again, so many end in a 5: a little more takes them off the edge of rounding
 OFF = 3.3141e-8
 _add("graft_report", GRAFT + "SELECT tree_id, name AS species, genus, replace(label, '_', ' ') AS placed_near, round(bl + 3.3141e-8, 6) AS branch_length, 'genus/congener_median' AS method, n - 1 AS n_congeners FROM run WHERE k > 0",
-     lambda s, f: _grafts(s, f)[1].withColumn("branch_length", F.round(F.col("branch_length") + OFF, 6)))
+     lambda s, f: T.grafted_all(_edges(s, f), _wanted(s, f)).withColumn("branch_length", F.round(F.col("branch_length") + OFF, 6)))
 _add("graft_genus", GRAFT + """, last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tree_id, genus ORDER BY k DESC) AS rn FROM run) WHERE rn = 1)
 SELECT e.tree_id, coalesce(l.parent, e.parent) AS parent, e.child, round(CASE WHEN l.child IS NOT NULL THEN l.len ELSE e.edge_length END + 3.3141e-8, 6) AS edge_length, e.label, e.is_tip FROM tree_edges e LEFT JOIN last l ON l.tree_id = e.tree_id AND l.child = e.child
 UNION ALL SELECT r.tree_id, hung, top + 2 * rank - 1, round(CASE WHEN lengths THEN CASE WHEN level THEN target - mid ELSE bl END END + 3.3141e-8, 6), replace(name, ' ', '_'), true FROM run r JOIN tree t ON t.tree_id = r.tree_id WHERE k > 0

@@ -359,3 +359,16 @@ def test_what_trees_lack_is_counted_without_a_row_for_each(spark, monkeypatch):
     mapping = spark.createDataFrame([(n, None, None, "unresolved", None, None, True, False, "") for n in names], MAPPING)
     meta = C.reconcile_augment(Reconciliation(mapping), df).meta
     assert (meta["n_augmented"], meta["n_skipped"]) == T.count_lacking(df, wanted)
+
+
+def test_what_is_grafted_is_said_without_making_trees(spark, rows, monkeypatch):
+    edges = [(t, 1, 2 + i, [0.5, None, 2.0, 4.0][i % 4], label, True) for t, labels in {"t1": ["Ab_n1", "Ab_n7", "cd_x", None], "t2": ["Cd_n3", "Ab_a", "Ab_b"], "t3": ["Ef_e"], "t4": [f"Ab_n{i}" for i in range(13)]}.items() for i, label in enumerate(labels)]
+    df = spark.createDataFrame(edges, T.TREE)
+    species = spark.createDataFrame([(f"{g} n{i}", 20 - i) for g in ("Ab",) for i in range(13)] + [(f"Cd n{i}", 30 + i) for i in range(4)] + [(None, 50), ("  ", 51)], "name string, pos int")
+    said = rows(T.graft(df, T.wanted_by_all(df, species)[0])[1], "tree_id", "species", "genus", "placed_near", "branch_length", "n_congeners")
+    monkeypatch.setattr(T, "closure", None)
+    for together in (1, 4, 2_000):
+        monkeypatch.setattr(T, "TOGETHER", together)
+        assert rows(T.grafted_all(df, species).drop("method")) == said and len(said) == 11 + 13 + 3
+    if SMALL.exists():
+        assert entry.queries()["graft_report"](spark, str(SMALL)).count() > 0
