@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import GENUS_EDITS, WORD_WEIGHTS, normalise, part_similarity, word
 from ..functions.relational import first_rows
-from ..runtime import cut
+from ..runtime import cut, ship
 
 
 def binomials(df: DataFrame, rank: str) -> DataFrame:
@@ -41,6 +46,12 @@ def genus_pairs(gx: DataFrame, gy: DataFrame) -> DataFrame:
     return a.join(b, "v").where((near >= 0) & (near <= GENUS_EDITS)).select("genus_x", "genus_y").distinct()
 
 
+def _near(bx: DataFrame, by: DataFrame, threshold: float) -> DataFrame:
+    """(genus_x, genus_y, g_sim): genera whose names may reach the threshold."""
+    near = genus_pairs(bx.select("genus").distinct(), by.select("genus").distinct()).withColumn("g_sim", part_similarity(F.col("genus_x"), F.col("genus_y")))
+    return near.where(WORD_WEIGHTS[0] * F.col("g_sim") + WORD_WEIGHTS[1] >= threshold - 1e-9)
+
+
 #: So many rows of some 150 bytes may be broadcast, 30 MB in all.
 MOST_SENT = 200_000
 #: Genera with more names than this in y are blocked by parts of the second words, where the threshold allows it.
@@ -99,9 +110,7 @@ def similar_names(x: DataFrame, y: DataFrame, threshold: float, rank: str) -> Da
     # fit one task are spread over as many as shuffles have
     n = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bx, by = cut(binomials(x, rank).repartition(n, "name")), cut(binomials(y, rank))
-    near = genus_pairs(bx.select("genus").distinct(), by.select("genus").distinct()).withColumn(
-        "g_sim", part_similarity(F.col("genus_x"), F.col("genus_y"))
-    ).where(WORD_WEIGHTS[0] * F.col("g_sim") + WORD_WEIGHTS[1] >= threshold - 1e-9)
+    near = _near(bx, by, threshold)
     left = bx.select(F.col("name").alias("name_x"), F.col("pos").alias("pos_x"), F.col("norm").alias("norm_x"), F.col("genus").alias("genus_x"), F.col("epithet").alias("ex"))
     # names of y, and pairs of genera, are sent to the names of x if they are counted to be few; else all sides are shuffled
     near = cut(near)
@@ -131,6 +140,153 @@ def best_matches(x: DataFrame, y: DataFrame, threshold: float = 0.9, rank: str =
     return found.select("name_x", "pos_x", "name_y", "pos_y", F.round("score", 4).alias("score"), notes.alias("notes"))
 
 
+#: So many names of a genus of x, and of all near genera of y, are compared at once: some 70 bytes each, and 2 to 8 bytes
+#: for each of y and letter.
+MOST_ASKING, MOST_ASKED = 4_000, 32_768
+#: Rows that a task should get; they are held at once.
+TASK_ROWS = 200_000
+
+
+def edit_distances(words: list[str], others: list[str]) -> Iterator[np.ndarray]:
+    """For each of the words, best sorted, the edit distances from all others.
+
+    The columns of the distance matrix are kept as bits of their vertical differences (Myers, Hyyro), of all others side
+    by side; what words begin with in common is done once. Others of over 64 letters have whole columns.
+    """
+    lengths = np.array([len(o) for o in others], dtype=np.int32)
+    short, long_ = np.flatnonzero(lengths <= 64), np.flatnonzero(lengths > 64)
+
+    def letters(which: np.ndarray) -> np.ndarray:
+        width = max(1, int(lengths[which].max(initial=0)))
+        return np.array([others[i] for i in which], dtype=f"U{width}").view(np.uint32).reshape(len(which), width)
+
+    codes, long_codes = letters(short), letters(long_)
+    bits = next(b for b in (16, 32, 64) if codes.shape[1] <= b)
+    kind = np.dtype(f"uint{bits}").type
+    # of a length of 64, 2 ** 64 - 1 too
+    mask = np.array([(1 << int(m)) - 1 for m in lengths[short]], dtype=kind)
+    one, places, rows = kind(1), np.arange(long_codes.shape[1] + 1, dtype=np.int32), {}
+
+    def row(letter: str) -> np.ndarray:
+        """Bits where the others have the letter; what is beyond their ends is never looked at."""
+        if letter not in rows:
+            rows[letter] = np.zeros(len(short), kind)
+            for i in range(codes.shape[1]):
+                rows[letter] |= (codes[:, i] == ord(letter)).astype(kind) << kind(i)
+        return rows[letter]
+
+    states, before = [(np.full(len(short), ~kind(0), kind), np.zeros(len(short), kind))], ""
+    for w in words:
+        same = 0
+        while same < min(len(w), len(before)) and w[same] == before[same]:
+            same += 1
+        del states[same + 1 :]
+        for letter in w[same:]:
+            (up, down), eq = states[-1], row(letter)
+            xv = eq | down
+            xh = eq & up
+            xh += up
+            xh ^= up
+            xh |= eq
+            ph = xh | up
+            np.invert(ph, out=ph)
+            ph |= down
+            xh &= up
+            ph += ph
+            ph |= one
+            xh += xh
+            new = xv | ph
+            np.invert(new, out=new)
+            new |= xh
+            xv &= ph
+            states.append((new, xv))
+        before = w
+        d = np.empty(len(others), np.int32)
+        up, down = states[-1]
+        d[short] = len(w) + np.bitwise_count(up & mask).astype(np.int32) - np.bitwise_count(down & mask)
+        if len(long_):
+            column = np.broadcast_to(places, (len(long_), len(places)))
+            for j, letter in enumerate(w):
+                new = np.empty(column.shape, np.int32)
+                new[:, 0] = j + 1
+                np.minimum(column[:, 1:] + 1, column[:, :-1] + (long_codes != ord(letter)), out=new[:, 1:])
+                column = np.minimum.accumulate(new - places, axis=1) + places
+            d[long_] = column[np.arange(len(long_)), lengths[long_]]
+        yield d
+
+
+def _best_of(asking: pa.Table, asked: pa.Table, n: int, threshold: float) -> pa.RecordBatch:
+    """The n best of asked (name, word, pos, genus_y, g_sim) for each of asking (name, word)."""
+    asked = asked.take(pc.sort_indices(asked, [("genus_y", "ascending"), ("pos", "ascending"), ("name", "ascending")], null_placement="at_start"))
+    words, of = np.unique(np.array(asking["word"].to_pylist(), dtype=object), return_inverse=True)
+    others = asked["word"].to_pylist()
+    lengths, base = np.array([len(o) for o in others]), WORD_WEIGHTS[0] * asked["g_sim"].to_numpy()
+    longest, found, scores = {}, [], []
+    for w, d in zip(words, edit_distances(list(words), others)):
+        if len(w) not in longest:
+            longest[len(w)] = np.maximum(np.maximum(lengths, len(w)), 1).astype(float)
+        score = base + WORD_WEIGHTS[1] * (1 - d / longest[len(w)])
+        least = threshold if len(score) <= n else max(threshold, np.partition(score, len(score) - n)[len(score) - n])
+        at = np.flatnonzero(score >= least)
+        at = at[np.argsort(-score[at], kind="stable")[:n]]
+        found.append(at)
+        scores.append(score[at])
+    took = np.array([len(f) for f in found])[of]
+    who = np.repeat(np.arange(len(of)), took)
+    places = pa.array(np.concatenate([found[i] for i in of]))
+    name_x, them = asking["name"].take(pa.array(who)), asked.take(places)
+    columns = [name_x, them["name"], them["pos"], them["genus_y"], pa.chunked_array([np.concatenate([scores[i] for i in of])])]
+    return pa.RecordBatch.from_arrays([c.combine_chunks() for c in columns], ["name_x", "name_y", "pos_y", "genus_y", "score"])
+
+
+def most_similar(x: DataFrame, y: DataFrame, n: int, threshold: float, rank: str) -> DataFrame:
+    """(name_x, name_y, pos_y, genus_y, score): for each x the n best of similar_names, in its order.
+
+    Where most names of a genus reach the threshold there are too many pairs to be rows. Here a genus of x, in shares, meets
+    the names of all near genera in arrays, and only the best become rows. Names of y that are alike in both words count
+    only as far as there are places for them.
+    """
+    ship(x.sparkSession)
+    parts = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bx = cut(binomials(x, rank).repartition(parts, "name").select("name", "genus", "epithet"))
+    by = cut(first_rows(binomials(y, rank), ["genus", "epithet"], ["pos", "name"], n).select("name", "pos", "genus", "epithet"))
+    near = cut(_near(bx, by, threshold))
+    size = lambda df, side, as_: df.groupBy(F.col("genus").alias(side)).agg(F.count("*").alias(as_))
+    asked = near.join(size(by, "genus_y", "k"), "genus_y").groupBy("genus_x").agg(F.sum("k").alias("k"))
+    shares = cut(size(bx, "genus_x", "m").join(asked, "genus_x").select(
+        "genus_x", "m", "k", F.expr(f"cast(ceil(m / {MOST_ASKING}) as int)").alias("nx"), F.expr(f"cast(ceil(k / {MOST_ASKED}) as int)").alias("ny")
+    ))
+    total, deals = shares.agg(F.sum(F.expr("m * ny + k * nx")), F.max("ny")).first()
+    tasks = max(8 * x.sparkSession.sparkContext.defaultParallelism, (total or 0) // TASK_ROWS)
+    dealt = lambda c: F.pmod(F.xxhash64("name"), F.col(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    key = ["genus_x", "sx", "sy"]
+    left = bx.withColumnRenamed("genus", "genus_x").join(shares, "genus_x").select("genus_x", dealt("nx").alias("sx"), each("ny").alias("sy"), "name", F.col("epithet").alias("word"))
+    right = by.withColumnRenamed("genus", "genus_y").join(near.join(shares, "genus_x"), "genus_y").select(
+        "genus_x", each("nx").alias("sx"), dealt("ny").alias("sy"), "name", F.col("epithet").alias("word"), "pos", "genus_y", "g_sim"
+    )
+    rows = right.unionByName(left, allowMissingColumns=True)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held).sort_by([(c, "ascending") for c in key])
+        codes = [table[c].combine_chunks().dictionary_encode().indices.to_numpy() if c == "genus_x" else table[c].to_numpy() for c in key]
+        ends = np.flatnonzero(np.any([c[1:] != c[:-1] for c in codes], axis=0)) + 1
+        for a, b in zip([0, *ends], [*ends, table.num_rows]):
+            unit = table.slice(a, b - a)
+            is_x = pc.is_null(unit["genus_y"])
+            asking, asked = unit.filter(is_x), unit.filter(pc.invert(is_x))
+            if asking.num_rows and asked.num_rows:
+                yield _best_of(asking, asked, n, threshold)
+
+    schema = f"name_x string, name_y string, pos_y {kinds['pos']}, genus_y string, score double"
+    best = rows.withColumn("task", F.pmod(F.xxhash64(*key), F.lit(tasks)).cast("int")).repartitionById(tasks, F.col("task")).drop("task").mapInArrow(run, schema)
+    return best if (deals or 1) == 1 else first_rows(best, ["name_x"], [F.desc("score"), "genus_y", "pos_y", "name_y"], n)
+
+
 def suggestions(x: DataFrame, y: DataFrame, n: int = 3, threshold: float = 0.7, rank: str = "species") -> DataFrame:
     """(unresolved, suggestion, score): for each x up to n of all y with that similarity, the best first.
 
@@ -138,5 +294,5 @@ def suggestions(x: DataFrame, y: DataFrame, n: int = 3, threshold: float = 0.7,
     """
     if n < 1 or not 0 <= threshold <= 1:
         raise ValueError("n must be at least 1 and threshold between 0 and 1")
-    top = first_rows(similar_names(x, y, threshold, rank), ["name_x"], [F.desc("score"), "genus_y", "pos_y", "name_y"], n)
+    top = most_similar(x, y, n, threshold, rank)
     return top.select(F.col("name_x").alias("unresolved"), F.col("name_y").alias("suggestion"), F.round("score", 4).alias("score"))

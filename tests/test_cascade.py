@@ -1,7 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from speciesbridge.functions.relational import first_rows
 from speciesbridge.functions.schema import MAPPING
 from speciesbridge.operators import fuzzy
 from speciesbridge.operators.cascade import cascade, unused_counts
@@ -176,3 +178,25 @@ def test_entry_points(spark, rows):
         reconcile_data(x.where("false"), x, "species", authority=None)
     with pytest.raises(ValueError):
         reconcile_data(x, x, authority="iucn")
+
+
+def test_suggestions_need_no_row_for_each_pair(spark, rows, monkeypatch):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abné") for _ in range(n))
+    name = lambda: f"{rng.choice(['Aus', 'Auas', 'Bus', 'Corvus', 'Korvus', 'Xylophagus'])} {word(rng.choice([1, 2, 3, 3, 4, 4, 17, 34, 70]))}{rng.choice(['', '', ' ott12'])}"
+    table = lambda k: spark.createDataFrame([(n, i) for i, n in enumerate(sorted({name() for _ in range(k)}, key=lambda s: s[::-1]))] + [("Aus", 900), (" ", 901)], "name string, pos int")
+    x, y = table(60), table(120)
+    order = [F.desc("score"), "genus_y", "pos_y", "name_y"]
+    wanted = {n: rows(first_rows(fuzzy.similar_names(x, y, t, "species"), ["name_x"], order, n).select("name_x", "name_y", F.round("score", 4))) for n, t in ((1, 0.9), (3, 0.7), (200, 0.0))}
+    monkeypatch.setattr(fuzzy, "similar_names", None)
+    for asking, asked in ((4_000, 32_768), (5, 7)):
+        monkeypatch.setattr(fuzzy, "MOST_ASKING", asking)
+        monkeypatch.setattr(fuzzy, "MOST_ASKED", asked)
+        for n, t in ((1, 0.9), (3, 0.7), (200, 0.0)):
+            assert rows(fuzzy.suggestions(x, y, n, t)) == wanted[n] and wanted[n]
+    assert rows(fuzzy.suggestions(x, y.limit(0), 3)) == []
+    others = [word(n) for n in (0, 1, 5, 16, 17, 32, 64)]
+    for some in (others[:4], others[:6], others, [*others, word(65), word(90)]):
+        words = sorted([*some, word(3), word(66)])
+        plain = spark.createDataFrame([(a, b) for a in words for b in some], "a string, b string").select(F.levenshtein("a", "b")).collect()
+        assert [int(d) for ds in fuzzy.edit_distances(words, some) for d in ds] == [r[0] for r in plain]
