@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.relational import first_rows, one_row
@@ -10,9 +12,14 @@ from ..functions.schema import MAPPING, check_mapping, require
 from ..runtime import cut
 from ..sources.ingest import species_column
 
-#: A key that gives more rows than this is joined in shares of about so many, each in its own place among MOST_SHARES.
-#: Such keys are at most as many as both tables have rows by twice its root, so that their list is small.
+#: A key that gives more rows than this is joined in shares of about so many, each in its own place. Rows of y are dealt
+#: in pieces of PIECE_ROWS: written one after the other for each row of x they repeat within what Parquet compresses
+#: together, where a whole key's would not. Rows of x go to every piece of their key, in at most MOST_SHARES shares.
+#: Pieces are numbered in tasks of PIECE_TASK rows. The lists of hot keys and of pieces are small: of the first there are
+#: at most as many as both tables have rows by twice SHARE_ROWS' root, of the second y's rows by PIECE_ROWS and one a task.
 SHARE_ROWS = 2_000_000
+PIECE_ROWS = 512
+PIECE_TASK = 65_536
 MOST_SHARES = 4096
 
 
@@ -35,24 +42,38 @@ def _keyed(mapping: DataFrame, data_x: DataFrame, data_y: DataFrame, species: tu
 def _joined(x: DataFrame, y: DataFrame, how: str) -> DataFrame:
     """x and y joined on _key; what keys that give many rows give is spread over tasks.
 
-    Both sides have such keys, so theirs is an inner join, whatever how is. Rows of x go to a share by the hash of all their
-    columns, and those of y to every share of their key.
+    Both sides have such keys, so theirs is an inner join, whatever how is: shares of x by the hash of all columns meet
+    pieces of y, so that rows are repeated by the root of what they give. Rows without a key are not moved.
     """
-    count = lambda df, n: df.where("_key is not null").groupBy("_key").agg(F.count("*").alias(n))
+    x, y = cut(x), cut(y)
+    named = "_key is not null"
+    count = lambda df, n: df.where(named).groupBy("_key").agg(F.count("*").alias(n))
     given = F.col("_nx") * F.col("_ny")
-    shares = F.least(F.ceil(given / SHARE_ROWS), F.lit(MOST_SHARES)).cast("int").alias("_shares")
-    hot = cut(count(x, "_nx").join(count(y, "_ny"), "_key").where(given > SHARE_ROWS).select("_key", shares))
+    hot = cut(count(x, "_nx").join(count(y, "_ny"), "_key").where(given > SHARE_ROWS))
+    keyless = {"inner": [], "left": [x], "full": [x, y]}[how]
+    rest = lambda df: df.where(named)
+    add = lambda out: reduce(lambda o, df: o.unionByName(df.where("_key is null"), allowMissingColumns=True), keyless, out)
     if hot.isEmpty():
-        return x.join(y, "_key", how)
-    few = F.broadcast(hot)
-    rest = x.join(few, "_key", "left_anti").join(y.join(few, "_key", "left_anti"), "_key", how)
+        return add(rest(x).join(rest(y), "_key", how))
+    few = F.broadcast(hot.select("_key"))
+    cold = rest(x).join(few, "_key", "left_anti").join(rest(y).join(few, "_key", "left_anti"), "_key", how)
     n = 16 * x.sparkSession.sparkContext.defaultParallelism
-    hashed = [F.col(f"`{c}`") for c, t in x.dtypes if "map<" not in t]
-    dealt = x.join(few, "_key").withColumn("_share", F.pmod(F.xxhash64(*hashed), F.col("_shares")).cast("int")).drop("_shares")
-    every = y.join(few, "_key").withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).drop("_shares")
+    hashed = lambda df: F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t])
+    pieces = y.join(F.broadcast(hot.select("_key", F.ceil(F.col("_ny") / PIECE_TASK).alias("_tasks"))), "_key").withColumn("_hash", hashed(y))
+    pieces = pieces.withColumn("_task", F.pmod("_hash", "_tasks"))
+    at = F.row_number().over(Window.partitionBy("_key", "_task").orderBy("_hash")) - 1
+    # a table, so that rows are in the same piece whenever it is read
+    pieces = cut(pieces.withColumn("_piece", F.struct("_task", F.floor(at / PIECE_ROWS).alias("piece"))).drop("_hash", "_task", "_tasks"))
+    shares = F.ceil(F.col("_nx") * F.least("_ny", F.lit(PIECE_ROWS)) / SHARE_ROWS)
+    met = hot.select("_key", F.least(shares, F.lit(MOST_SHARES)).cast("int").alias("_shares"))
+    dealt = x.join(F.broadcast(met), "_key").withColumn("_share", F.pmod(hashed(x), F.col("_shares")).cast("int")).drop("_shares")
+    dealt = dealt.join(F.broadcast(pieces.select("_key", "_piece").distinct()), "_key")
+    every = pieces.join(F.broadcast(met), "_key").withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).drop("_shares")
     # a number of partitions of its own, for adaptive execution would put small inputs together again, large as their result is
-    spread = lambda df: df.repartition(n, "_key", "_share")
-    return rest.union(spread(dealt).join(spread(every), ["_key", "_share"]).drop("_share"))
+    spread = lambda df: df.repartition(n, "_key", "_share", "_piece")
+    # a merge join, which writes a piece out for each row of x
+    warm = spread(dealt).hint("merge").join(spread(every), ["_key", "_share", "_piece"]).drop("_share", "_piece")
+    return add(cold.union(warm))
 
 
 def merge(
@@ -65,8 +86,8 @@ def merge(
     of several rows of a name the first by `order` counts (default: all columns). Species columns are found if not named.
     how: inner, left or full. Rows without a key meet nothing and stay, with NULL, on the sides that how keeps, unless
     drop_unresolved. Columns that both tables have get the suffixes on both sides. Species that occur repeatedly multiply,
-    as in any join, which merge_duplicates counts beforehand; those that give more than SHARE_ROWS rows are split by what
-    they give, for they may be small before. Empty tables are as in SQL.
+    as in any join, which merge_duplicates counts beforehand; those that give more than SHARE_ROWS rows are split on both
+    sides, for they may be small before. Empty tables are as in SQL.
     """
     if how not in ("inner", "left", "full"):
         raise ValueError("how must be inner, left or full")

@@ -158,3 +158,19 @@ def test_merge_spreads_what_a_key_gives(spark, rows, monkeypatch, how, drop, suf
     assert rows(out) == want
     parts = out.where("species_resolved = 'a'").rdd.glom().map(len).collect()
     assert sum(parts) == 1000 and sum(n > 0 for n in parts) > 5
+
+
+@pytest.mark.parametrize(("how", "drop", "suffix"), [("inner", False, ("_x", "_y"))])
+def test_what_a_merge_gives_takes_little_disk(spark, rows, tmp_path, monkeypatch, how, drop, suffix):
+    m = spark.createDataFrame([row("a", "a"), row("b", "b"), open_x("u")], MAPPING)
+    number = lambda n, other: spark.range(n).selectExpr("id as v", f"if(id % 10 = 9, if(id % 20 = 9, '{other}', null), 'a') as sp")
+    x, y = number(800, "b"), number(5000, "yy")
+    monkeypatch.setattr("speciesbridge.operators.merge.SHARE_ROWS", 1_000_000)
+    out = merge(m, x, y, "sp", "sp", how, suffix, drop)
+    out.write.parquet(str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    n = 720 * 4500 + (40 if drop else {"inner": 0, "left": 80, "full": 580}[how])
+    v, w = (f"`v{s}`" for s in suffix)
+    assert back.count() == n and back.where(f"{v} is not null and {w} is not null").select(v, w).distinct().count() == 720 * 4500
+    size = sum(p.stat().st_size for p in (tmp_path / "out").rglob("*.parquet"))
+    assert size < 0.8 * n, size / n
