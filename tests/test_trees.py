@@ -372,3 +372,19 @@ def test_what_is_grafted_is_said_without_making_trees(spark, rows, monkeypatch):
         assert rows(T.grafted_all(df, species).drop("method")) == said and len(said) == 11 + 13 + 3
     if SMALL.exists():
         assert entry.queries()["graft_report"](spark, str(SMALL)).count() > 0
+
+
+@pytest.mark.parametrize("together", [5, 30_000])
+def test_trees_meet_names_some_at_a_time(spark, rows, monkeypatch, together):
+    rng, edges = random.Random(together), []
+    for tree, sizes in {"whole": [0.0, 0.25, 1.0], "gaps": [None, 0.5], "none": [None], "level": [1.0]}.items():
+        edges += [(tree, 1, 2 + i, rng.choice(sizes), f"{rng.choice(['Ab', 'Cd', 'ef'])}_s{i}", True) for i in range(9)]
+    df = spark.createDataFrame(edges, T.TREE)
+    new = [(f"{rng.choice(['Ab', 'Cd', 'Ef', 'Gh', 'ef'])} n{i}", 2 * i) for i in range(40)] + [(f"Ab s{i}", 8 * i + 1) for i in range(9)] + [("", 81), ("  ", 83)]
+    species = spark.createDataFrame(new, "name string, pos bigint")
+    want = rows(T.graft(df, T.wanted_by_all(df, species)[0])[0], *T.EDGE)
+    for name, n in (("NAMES_TOGETHER", together), ("PLACES_TOGETHER", 3 * together)):
+        monkeypatch.setattr(T, name, n)
+    assert rows(T.graft_all(df, species)[0], *T.EDGE) == want
+    assert rows(T.graft_all(df, species.where("name like 'Gh%'"))[0], *T.EDGE) == rows(df, *T.EDGE)
+    assert rows(T.graft_all(df, species.limit(0))[0], *T.EDGE) == rows(df, *T.EDGE)
