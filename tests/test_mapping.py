@@ -160,7 +160,7 @@ def test_merge_spreads_what_a_key_gives(spark, rows, monkeypatch, how, drop, suf
     assert sum(parts) == 1000 and sum(n > 0 for n in parts) > 5
 
 
-@pytest.mark.parametrize(("how", "drop", "suffix"), [("inner", False, ("_x", "_y")), ("full", False, ("_x", "_y")), ("left", False, ("_x", "_y")), ("full", True, ("_x", "_y"))])
+@pytest.mark.parametrize(("how", "drop", "suffix"), [("inner", False, ("_x", "_y")), ("full", False, ("_x", "_y")), ("left", False, ("_x", "_y")), ("full", True, ("_x", "_y")), ("left", False, (".a", ".b"))])
 def test_what_a_merge_gives_takes_little_disk(spark, rows, tmp_path, monkeypatch, how, drop, suffix):
     m = spark.createDataFrame([row("a", "a"), row("b", "b"), open_x("u")], MAPPING)
     number = lambda n, other: spark.range(n).selectExpr("id as v", f"if(id % 10 = 9, if(id % 20 = 9, '{other}', null), 'a') as sp")
